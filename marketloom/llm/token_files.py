@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import map_batches, offsets, raw, staged, steps, work_folder
-from marketloom.llm.tokens import coder, vocabulary_path
+from marketloom.llm.tokens import coder, vocabulary_path, vocabulary_size
 
 END_ID = 1
 #: Lengths of the four values of a control byte.
@@ -33,27 +33,27 @@ def binary(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((np.append(0, ends) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
 
 
-def encoded(docs: DataFrame, end_id: int, path: str) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit) of each whole text, end_id after them."""
+def encoded(docs: DataFrame, end_id: int, path: str, kind: str) -> DataFrame:
+    """doc_id, ids (of the numpy type kind) of each whole text, end_id after them."""
 
     def run(batches):
         code = coder(path)
         for b in steps(batches):
             data, rows = raw(b.column("text"))
             ids, first = code.encode(data, rows)
-            ids = np.insert(ids.astype("<u4"), first[1:], end_id)
+            ids = np.insert(ids.astype(kind), first[1:], end_id)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), binary(ids, first[1:] + np.arange(1, len(first)))], ["doc_id", "ids"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids binary")
 
 
-def id_counts(ids: DataFrame) -> DataFrame:
+def id_counts(ids: DataFrame, kind: str) -> DataFrame:
     """id, n over all documents; each task adds up its own before the shuffle."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            now = np.bincount(raw_ids(b.column("ids"))[0], minlength=len(total))
+            now = np.bincount(raw_ids(b.column("ids"), kind)[0], minlength=len(total))
             now[: len(total)] += total
             total = now
         at = np.flatnonzero(total)
@@ -62,12 +62,12 @@ def id_counts(ids: DataFrame) -> DataFrame:
     return map_batches(ids.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def raw_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def raw_ids(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a binary column and each row's start in them."""
     at = offsets(column)
     data = column.buffers()[2]
     flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
-    return flat.view("<u4") if at[0] % 4 == 0 else flat.copy().view("<u4"), (at - at[0]) // 4
+    return flat.copy().view(kind), (at - at[0]) // np.dtype(kind).itemsize
 
 
 def pack(ranks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,8 +102,10 @@ def unpack(control: np.ndarray, data: np.ndarray, first: np.ndarray) -> np.ndarr
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> None:
     """Write the ids of docs(doc_id, text) below folder: ``ranks`` and ``ids``."""
     spark = docs.sparkSession
-    ids = staged(encoded(docs, end_id, path or vocabulary_path()), "ids")
-    counts = id_counts(ids).toPandas().sort_values(["n", "id"], ascending=[False, True])  # a row for each id of the vocabulary at most
+    path = path or vocabulary_path()
+    kind = "<u2" if max(vocabulary_size(path), end_id + 1) <= 1 << 16 else "<u4"
+    ids = staged(encoded(docs, end_id, path, kind), "ids")
+    counts = id_counts(ids, kind).toPandas().sort_values(["n", "id"], ascending=[False, True])  # a row for each id of the vocabulary at most
     by_rank = counts["id"].to_numpy()
     ranks = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     ranks[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
@@ -115,7 +117,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         for b in batches:
             if not b.num_rows:
                 continue
-            flat, first = raw_ids(b.column("ids"))
+            flat, first = raw_ids(b.column("ids"), kind)
             control, control_ends, data, data_ends = pack(shared.value[flat], first)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(b.num_rows, shard, np.int32)), pa.array(begin + first[:-1]), b.column("doc_id"), pa.array(np.diff(first)), binary(control, control_ends), binary(data, data_ends)],
@@ -123,7 +125,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
             )
             begin += int(first[-1])
 
-    ordered = ids.repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     map_batches(ordered, run, "shard int, shard_start long, doc_id long, n_values long, control binary, data binary").write.option("compression", "none").parquet(f"{folder}/ids")
 
 

@@ -34,6 +34,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()
+
+
 def coder(path: str) -> Coder:
     """One per Python worker and vocabulary."""
     if path not in _coders:
