@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import packing, token_files
+from marketloom.llm import decontamination, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
+    "op9_fm_decontamination": decontamination.op9_fm_decontamination,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
 }
 
