@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import decontamination, packing, token_files
+from marketloom.llm import decontamination, packing, pii, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
     "op9_fm_decontamination": decontamination.op9_fm_decontamination,
+    "op10_pii_spans": pii.op10_pii_spans,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
 }
 
