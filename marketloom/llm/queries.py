@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import decontamination, packing, pii, token_files
+from marketloom.llm import decontamination, fingerprints, language, packing, pii, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
+    "op2_byte_network_language": language.op2_byte_network_language,
+    "op3_toxic_chain": toxicity.op3_toxic_chain,
+    "op6_merkle_fingerprints": fingerprints.op6_merkle_fingerprints,
     "op9_fm_decontamination": decontamination.op9_fm_decontamination,
     "op10_pii_spans": pii.op10_pii_spans,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
