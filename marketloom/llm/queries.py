@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import decontamination, fingerprints, language, near_duplicates, packing, pii, token_files, toxicity
+from marketloom.llm import decontamination, fingerprints, language, near_duplicates, packing, phrases, pii, substrings, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
     "op2_byte_network_language": language.op2_byte_network_language,
     "op3_toxic_chain": toxicity.op3_toxic_chain,
     "op4_tensored_minhash": near_duplicates.op4_tensored_minhash,
+    "op5_suffix_array_dedup": substrings.op5_suffix_array_dedup,
+    "op8_phrase_automata": phrases.op8_phrase_automata,
     "op6_merkle_fingerprints": fingerprints.op6_merkle_fingerprints,
     "op9_fm_decontamination": decontamination.op9_fm_decontamination,
     "op10_pii_spans": pii.op10_pii_spans,
