@@ -1,24 +1,70 @@
-"""Cleaning of a training corpus: stages that each keep, change or arrange the documents of the one before."""
+"""Cleaning of a training corpus: stages that each keep, change or arrange the documents of the one before.
+
+Toxic documents are rejected, one document of each near-duplicate group stays, passages of the benchmark are cut, personal
+data is masked, and what is left is packed. All stages but the last return the columns of their input; ``n_chars`` follows
+changes of ``text``. Rows of null doc_id and repeated rows of a doc_id don't pass the near-duplicate stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from marketloom.llm import decontamination as decontamination_
+from marketloom.llm import near_duplicates as near_duplicates_
+from marketloom.llm import pii as pii_
+from marketloom.llm import toxicity as toxicity_
 from marketloom.llm.common import staged
 from marketloom.llm.packing import pack_documents
 
 
+def recounted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain, trained on the labels, doesn't call toxic."""
+    model = toxicity_.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    keep = [F.col(f"doc.{c}").alias(c) for c in docs.columns]
+    scored = toxicity_.score_toxicity(docs.select(F.struct(*docs.columns).alias("doc"), "text"), model, spans=False)
+    return scored.where("predicted = 0").select(*keep)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of every group that agrees in four fifths of its five-word shingles."""
+    kept = near_duplicates_.near_duplicates(docs, n=5, threshold=(80, 100)).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of benchmark passages."""
+    found = decontamination_.decontaminate(docs.select(F.struct(*docs.columns).alias("doc"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return recounted(unpacked(decontamination_.without_spans(found), docs.columns))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data masked."""
+    found = pii_.find_pii(docs.select(F.struct(*docs.columns).alias("doc"), "text"), pii_.train(docs))
+    return recounted(unpacked(pii_.redacted(found), docs.columns))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the struct doc, with the text beside it in place of its own."""
+    return rows.select(*(F.col("text") if c == "text" else F.col(f"doc.{c}").alias(c) for c in columns))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of the pieces of all documents in sequences of 2048 tokens."""
     return pack_documents(docs, with_ids=False)
 
 
-STAGES = [("best-fit packing", packing)]
-#: Stages of this pipeline learn from data or encode text, so no SQL gives its rows.
+STAGES = [("toxicity", toxicity), ("near-duplicates", near_duplicates), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]
+#: Stages learn from data and encode text, so no SQL gives these rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = staged(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
