@@ -3,7 +3,8 @@
 The smallest hash of a window's k-grams is its anchor: equal windows have equal anchors at the same place. Consecutive windows
 with one anchor form a piece, so about one row for (W - k) / 2 windows is sent, in binary packets to the shard of the
 anchor's hash. Pieces equal as a whole are settled there by a hash of their contents; where one anchor stands in different
-pieces, one piece of each kind goes on to be compared window by window.
+pieces, one piece of each kind goes on to be compared window by window. A window reaches half its rest to the left of its
+anchor or to the right, so pieces of which no other kind shares either side are done.
 """
 
 from __future__ import annotations
@@ -13,22 +14,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import map_batches, repeat_rows, signed, span_hashes, window_hashes
+from marketloom.llm.common import map_batches, repeat_rows, span_hashes, window_hashes
 
 #: Low bits of a k-gram's sort key that hold its position, so the leftmost of equal k-grams is the anchor.
 PLACE = np.uint64((1 << 26) - 1)
 #: Anchors that a shard is meant to hold, and that a task gathers before it sends them.
 SHARD_ANCHORS, PACKET_ANCHORS = 1 << 19, 1 << 19
-FIELDS = ("h", "content", "doc", "low", "high")
+#: What a packet holds of each piece, and as which type. A shard needs 32 bits of the anchor's hash: chance equals cost time only.
+FIELDS = {"h": np.uint32, "content": np.uint64, "sides": np.uint16, "doc": np.int64, "low": np.int32, "more": np.uint8}
 
 
 def pieces(values: np.ndarray, first: np.ndarray, width: int, k: int) -> tuple[np.ndarray, ...]:
-    """Hash of the anchor and of the content, row, first and last window start (within the row) of every piece."""
+    """Hash of the anchor, of the content, of both sides, row, first and last window start (within the row) of every piece."""
     grams = window_hashes(values, k)
     span = width - k + 1
     none = np.zeros(0, np.int64)
     if len(grams) < span:
-        return none.view(np.uint64), none.view(np.uint64), none, none, none
+        return none.view(np.uint64), none.view(np.uint64), none.astype(np.uint16), none, none, none
     key = (grams & ~PLACE) | (np.arange(len(grams), dtype=np.uint64) & PLACE)
     have = 1
     while have < span:  # key[i]: the least of the next `have` keys
@@ -47,27 +49,37 @@ def pieces(values: np.ndarray, first: np.ndarray, width: int, k: int) -> tuple[n
     anchor = place[new]
     content = span_hashes(values, low, high + width) + (anchor - low).astype(np.uint64)
     r = own[low]
-    return grams[anchor], content, r, low - first[r], high - first[r]
+    reach = (width - k) // 2
+    side = lambda a, b, has: np.where(has, (span_hashes(values, np.where(has, a, low), np.where(has, b, low)) % np.uint64(255)).astype(np.uint16) + 1, 0)
+    left = side(anchor - reach, anchor + k, low <= anchor - reach)
+    right = side(anchor, anchor + k + reach, high + width >= anchor + k + reach)
+    return grams[anchor], content, (left << 8 | right).astype(np.uint16), r, low - first[r], high - first[r]
+
+
+def shared_side(group: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Whether another kind of the group has the same side; 0: has none."""
+    _, back, count = np.unique(group * 256 + side, return_inverse=True, return_counts=True)
+    return (count[back] > 1) & (side > 0)
 
 
 def packets(docs: DataFrame, units, width: int, k: int, shards: int) -> DataFrame:
     """shard and columns of packed arrays: all pieces of all rows. units(batch) yields values and row starts and doc ids."""
 
     def send(gathered):
-        h, content, doc, low, high = (np.concatenate(x) for x in zip(*gathered, strict=True))
+        h, content, sides, doc, low, high = (np.concatenate(x) for x in zip(*gathered, strict=True))
         shard = (h >> np.uint64(40)).astype(np.int64) % shards
         order = np.argsort(shard, kind="stable")
         ends = np.searchsorted(shard[order], np.arange(shards + 1))
         full = np.flatnonzero(np.diff(ends))
-        columns = [pa.array([x[order[ends[s] : ends[s + 1]]].tobytes() for s in full], pa.binary()) for x in (h, content, doc, low.astype(np.int32), high.astype(np.int32))]
+        columns = [pa.array([x[order[ends[s] : ends[s + 1]]].tobytes() for s in full], pa.binary()) for x in (h.astype(np.uint32), content, sides, doc, low.astype(np.int32), (high - low).astype(np.uint8))]
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *columns], ["shard", *FIELDS])
 
     def run(batches):
         gathered, n = [], 0
         for values, first, ids in units(batches):
-            h, content, row, low, high = pieces(values, first, width, k)
+            h, content, sides, row, low, high = pieces(values, first, width, k)
             if len(h):
-                gathered.append((h, content, ids[row], low, high))
+                gathered.append((h, content, sides, ids[row], low, high))
                 n += len(h)
             if n >= PACKET_ANCHORS:
                 yield send(gathered)
@@ -75,7 +87,7 @@ def packets(docs: DataFrame, units, width: int, k: int, shards: int) -> DataFram
         if gathered:
             yield send(gathered)
 
-    return map_batches(docs, run, "shard int, h binary, content binary, doc binary, low binary, high binary")
+    return map_batches(docs, run, "shard int, " + ", ".join(f"{x} binary" for x in FIELDS))
 
 
 def settle(sent: DataFrame, shards: int, decide) -> DataFrame:
@@ -89,10 +101,10 @@ def settle(sent: DataFrame, shards: int, decide) -> DataFrame:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        read = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for b in parts for x in b.column(name)])
-        h, content, doc, low, high = read("h", np.uint64), read("content", np.uint64), read("doc", np.int64), read("low", np.int32), read("high", np.int32)
+        h, content, sides, doc, low, more = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for b in parts for x in b.column(name)]) for name, kind in FIELDS.items())
         order = np.lexsort((low, doc, content, h))
-        h, content, doc, low, high = h[order], content[order], doc[order], low[order], high[order]
+        h, content, sides, doc, low = h[order], content[order], sides[order], doc[order], low[order]
+        high = low + more[order]
         new_group = np.concatenate(([True], h[1:] != h[:-1]))
         new_kind = new_group | np.concatenate(([True], content[1:] != content[:-1]))
         kind = np.cumsum(new_kind) - 1
@@ -103,11 +115,13 @@ def settle(sent: DataFrame, shards: int, decide) -> DataFrame:
         begin = np.flatnonzero(new_group)
         several = np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin)
         done, open_ = decide(doc, kind, at, count, kinds[group], several[group])
+        side = sides[at].astype(np.int64)
+        open_ &= (shared_side(group[at], side >> 8) | shared_side(group[at], side & 255))[kind]
         for mask, flag in ((done, False), (open_, True)):
             some = np.flatnonzero(mask)
             for a in range(0, len(some), 50_000):
                 i = some[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(low[i]), pa.array(high[i]), pa.array(signed(h[i])), pa.array(np.full(len(i), flag))], ["doc", "low", "high", "h", "open"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(low[i]), pa.array(high[i]), pa.array(h[i].astype(np.int64)), pa.array(np.full(len(i), flag))], ["doc", "low", "high", "h", "open"])
 
     return map_batches(sent.repartition(shards, "shard"), run, "doc long, low int, high int, h long, open boolean")
 

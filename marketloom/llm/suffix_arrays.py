@@ -22,11 +22,10 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     induce = _induce_buckets if int(text.max()) < 1024 else _induce_lists
     first = induce(text, small, lms)
-    order = first[np.isin(first, lms, assume_unique=True)] if len(lms) < n else first
-    ends = np.append(lms[1:], n - 1) + 1
-    length = dict(zip(lms.tolist(), (np.minimum(ends, n) - lms).tolist(), strict=True))
     name = np.zeros(n, np.int64)
-    size = np.array([length[x] for x in order.tolist()])
+    name[lms] = np.minimum(np.append(lms[1:], n - 1) + 1, n) - lms  # lengths of LMS substrings, for now
+    order = first[name[first] > 0]
+    size = name[order]
     differ = np.ones(len(order), bool)
     same_size = np.flatnonzero(size[1:] == size[:-1]) + 1
     raw = text.astype(np.int32)
@@ -126,9 +125,16 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndar
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     out, at = np.zeros(n, np.int64), np.flatnonzero(before >= 0)
-    padded = np.concatenate((text.astype(np.int32), np.full(most, -1, np.int32)))
-    for _ in range(most):
-        same = padded[at + out[at]] == padded[before[at] + out[at]]
-        at = at[same]
+    padded = np.concatenate((text.astype(np.int32), np.full(most + 8, -1, np.int32)))
+    eight = np.zeros(n + most + 1, np.uint64)  # eight symbols in one number, by a hash
+    for k in range(8):
+        eight = eight * np.uint64(0x9E3779B97F4A7C15) + padded[k : k + len(eight)].astype(np.uint64)
+    long = at
+    for _ in range(most // 8):
+        long = long[eight[long + out[long]] == eight[before[long] + out[long]]]
+        out[long] += 8
+    for _ in range(min(8, most)):
+        at = at[out[at] < most]
+        at = at[padded[at + out[at]] == padded[before[at] + out[at]]]
         out[at] += 1
     return out
