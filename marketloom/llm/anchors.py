@@ -129,3 +129,11 @@ def settle(sent: DataFrame, shards: int, decide) -> DataFrame:
 def by_document(spans: DataFrame, name: str) -> DataFrame:
     """One row a document: its spans, as structs."""
     return spans.groupBy("doc").agg(F.collect_list(F.struct("low", "high", "h")).alias(name))
+
+
+def span_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """low, high and h of a column of by_document one after another, and each row's first; null: none."""
+    count = column.value_lengths().fill_null(0).to_numpy()
+    flat = column.flatten()
+    low, high, h = (np.asarray(flat.field(name)) for name in ("low", "high", "h"))
+    return low, high, h, np.concatenate((np.zeros(1, np.int64), np.cumsum(count)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.anchors import SHARD_ANCHORS, by_document, packets, settle
+from marketloom.llm.anchors import SHARD_ANCHORS, by_document, packets, settle, span_arrays
 from marketloom.llm.common import VALUES, join_spans, map_batches, raw, staged, steps
 from marketloom.llm.suffix_arrays import permuted_prefixes, suffix_array
 
@@ -45,9 +45,11 @@ def snippets(rows: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for b in steps(batches):
             out = []
-            for doc, text, spans in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("open").to_pylist(), strict=True):
-                data = (text or "").encode()
-                out += [(s["h"], doc, s["low"], data[s["low"] : s["high"] + length]) for s in spans]
+            low, high, h, at = span_arrays(b.column("open"))
+            data, rows = raw(b.column("text"))
+            for r, (doc, i, j) in enumerate(zip(b.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                text = data[rows[r] : rows[r + 1]].tobytes()
+                out += [(x, doc, a, text[a : z + length]) for x, a, z in zip(h[i:j].tolist(), low[i:j].tolist(), high[i:j].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["h", "doc", "low", "bytes"])
 
     return map_batches(rows, run, "h long, doc long, low int, bytes binary")
@@ -72,7 +74,10 @@ def shard_hits(length: int):
         ok = room[order]
         np.minimum.at(least, run[ok], doc[which[order[ok]]])
         hit = np.sort(order[ok][doc[which[order[ok]]] > least[run[ok]]])
-        return doc[which[hit]], low[which[hit]] + inside[hit]
+        first = np.flatnonzero(np.diff(hit, prepend=-2) > 1)  # runs of starts; a mark lies between snippets
+        last = np.append(first[1:], len(hit)) - 1 if len(hit) else first
+        of = which[hit[first]]
+        return doc[of], low[of] + inside[hit[first]], low[of] + inside[hit[last]]
 
     def run(batches):
         gathered: dict[str, list] = {"h": [], "doc": [], "low": [], "bytes": []}
@@ -82,10 +87,10 @@ def shard_hits(length: int):
             h = np.array(gathered["h"])
             to = len(h) if not cut_group else int(np.searchsorted(h, h[-1]))
             if to:
-                doc, start = hits(np.array(gathered["doc"][:to]), np.array(gathered["low"][:to]), gathered["bytes"][:to])
+                doc, start, stop = hits(np.array(gathered["doc"][:to]), np.array(gathered["low"][:to]), gathered["bytes"][:to])
                 for x in gathered.values():
                     del x[:to]
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(start, pa.int32()), pa.array(np.zeros(len(doc), np.int64))], ["doc", "low", "high", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(np.zeros(len(doc), np.int64))], ["doc", "low", "high", "h"])
 
         held = 0
         for b in batches:
@@ -115,12 +120,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return texts.join(spans, "doc_id", "left")
 
 
-def removed(text: bytes, spans, length: int) -> tuple[bytes, np.ndarray]:
+def removed(text: bytes, low: np.ndarray, high: np.ndarray, length: int) -> tuple[bytes, np.ndarray]:
     """What is left, and the removed ranges."""
-    if not spans:
-        return text, np.zeros((0, 2), np.int64)
-    s = np.array([(x["low"], x["high"] + length) for x in spans], np.int64)
-    start, end = join_spans(s[:, 0], s[:, 1])
+    start, end = join_spans(low.astype(np.int64), high.astype(np.int64) + length)
     keep, at = [], 0
     for a, b in zip(start.tolist(), end.tolist(), strict=True):
         keep.append(text[at:a])
@@ -132,9 +134,11 @@ def digest(rows: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for b in steps(batches):
             out = []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                data = (text or "").encode()
-                left, ranges = removed(data, spans, length)
+            low, high, _, at = span_arrays(b.column("spans"))
+            flat, rows = raw(b.column("text"))
+            for r, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                data = flat[rows[r] : rows[r + 1]].tobytes()
+                left, ranges = removed(data, low[i:j], high[i:j], length)
                 out.append((len(data), len(data) - len(left), len(ranges), hashlib.sha256(left).hexdigest()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(),) * 3 + (pa.string(),)))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
