@@ -103,6 +103,26 @@ def test_op4_against_all_pairs(spark, n, num):
     assert got == brute.near(docs, n, num, 100)
 
 
+@pytest.mark.parametrize("families", [1, 3])
+def test_op4_families_below_the_threshold(spark, monkeypatch, families):
+    """Large groups of texts that are alike without being linked, linked pairs among them, and no common original."""
+    monkeypatch.setattr(near_duplicates, "SMALL", 2)
+    rng, docs = random.Random(families), []
+    for k in range(240):
+        if k % 4 == 3:
+            w = docs[-1][1].split()
+            w[rng.randrange(len(w))] = "again"
+        else:
+            w = [f"w{k % families if i % 7 == 0 else ''}_{i}" for i in range(200)]
+            for _ in range(rng.choice([4, 6, 8, 9])):
+                w[rng.randrange(200)] = f"x{rng.randrange(40)}"
+        docs.append((k, " ".join(w)))
+    want = brute.near(docs, 3, 85, 100)
+    assert 40 < len({c for _, c in want.values()}) < 239
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, (85, 100)).collect()}
+    assert got == want
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(20)] + [(100, 101), (102, 101)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
