@@ -2,7 +2,8 @@
 
 Toxic documents are rejected, one document of each near-duplicate group stays, passages of the benchmark are cut, personal
 data is masked, and what is left is packed. All stages but the last return the columns of their input; ``n_chars`` follows
-changes of ``text``. Rows of null doc_id and repeated rows of a doc_id don't pass the near-duplicate stage.
+changes of ``text``. Rows are told apart also where doc_ids are null or repeat: each stays unless it is toxic or a near
+duplicate of a row that stays.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from marketloom.llm import decontamination as decontamination_
 from marketloom.llm import near_duplicates as near_duplicates_
 from marketloom.llm import pii as pii_
 from marketloom.llm import toxicity as toxicity_
-from marketloom.llm.common import staged
+from marketloom.llm.common import numbered, staged, told_apart
 from marketloom.llm.packing import pack_documents
 
 
@@ -31,9 +32,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of every group that agrees in four fifths of its five-word shingles."""
-    kept = near_duplicates_.near_duplicates(docs, n=5, threshold=(80, 100)).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The row of the smallest doc_id (null is the largest) of every group that agrees in four fifths of its five-word shingles."""
+    rows = numbered(docs, told_apart(docs))
+    kept = near_duplicates_.near_rows(rows.select("row_id", "doc.text"), n=5, threshold=(80, 100)).where("kept").select("row_id")
+    return rows.join(kept, "row_id", "left_semi").select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

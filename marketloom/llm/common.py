@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles; a longer text is handled alone.
 STEP_BYTES = 1 << 20
@@ -37,6 +38,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def told_apart(docs: DataFrame) -> bool:
+    """Whether every row has a doc_id of its own."""
+    return docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1 or doc_id is null").isEmpty()
+
+
+def numbered(docs: DataFrame, apart: bool) -> DataFrame:
+    """row_id and doc (all columns): the doc_id if it tells rows apart, else numbers in the order of doc_id, nulls last, and contents."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("row_id"), F.struct(*docs.columns).alias("doc"))
+    if apart:
+        return rows
+    rows = rows.select("doc", F.col("row_id").alias("of"), F.xxhash64(F.to_json("doc")).alias("digest"), F.monotonically_increasing_id().alias("at"))
+    return staged(rows.orderBy(F.col("of").asc_nulls_last(), "digest", "at").select(F.monotonically_increasing_id().alias("row_id"), "doc"), "numbered")
+
+
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` with batches small enough for long texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

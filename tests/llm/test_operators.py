@@ -123,6 +123,39 @@ def test_op4_families_below_the_threshold(spark, monkeypatch, families):
     assert got == want
 
 
+CLASHING = [
+    (5, "a1 a2 a3 a4 a5 a6 a7 a8 a9"), (5, "b1 b2 b3 b4 b5 b6 b7 b8 b9"), (7, "a1 a2 a3 a4 a5 a6 a7 a8 a9"), (None, "b1 b2 b3 b4 b5 b6 b7 b8 b9"), (9, "b1 b2 b3 b4 b5 b6 b7 b8 b9"),
+    (8, "c1 c2 c3 c4 c5 c6 c7"), (8, "d1 d2 d3 d4 d5 d6 d7"), (8, "d1 d2 d3 d4 d5 d6 d7"), (None, "e1 e2 e3 e4 e5 e6 e7"), (None, None), (None, "f1 f2 f3 f4 f5 f6 f7"), (None, "f1 f2 f3 f4 f5 f6 f7"),
+]
+
+
+def test_op4_rows_that_share_a_doc_id(spark):
+    """Both texts of doc_id 5 have links of their own, also near ones: neither class loses its keys to the other."""
+    rng, docs = random.Random(3), []
+    for family in "pq":
+        w = [f"{family}{k}" for k in range(80)]
+        docs.append((1, " ".join(w)))
+        for k in range(20):
+            near = list(w)
+            near[rng.randrange(80)] = "x"
+            docs.append((100 * ord(family) + k, " ".join(near)))
+    near = near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, (85, 100)).collect()
+    assert len(near) == 42 and {r.component_id for r in near} == {1} and sum(r.kept for r in near) == 2
+    got = near_duplicates.near_duplicates(spark.createDataFrame(CLASHING, "doc_id long, text string"), 3, (85, 100)).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(5, 5, True), (5, 5, True), (7, 5, False), (8, 8, False), (8, 8, True), (8, 8, True), (9, 5, False)]
+
+
+def test_pipeline_keeps_rows_of_null_and_clashing_doc_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    def stage(name, docs, parts):
+        spark.createDataFrame(docs, "doc_id long, text string").repartition(parts).write.parquet(path := str(tmp_path / name))
+        return sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, spark.read.parquet(path), "").collect()), key=str)
+
+    want = sorted([CLASHING[k] for k in (0, 1, 5, 6, 8, 9, 10)], key=str)
+    assert stage("a", CLASHING, 1) == want == stage("b", CLASHING[::-1], 5)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(20)] + [(100, 101), (102, 101)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
