@@ -22,6 +22,8 @@ PLACE = np.uint64((1 << 26) - 1)
 SHARD_ANCHORS, PACKET_ANCHORS = 1 << 19, 1 << 19
 #: What a packet holds of each piece, and as which type. A shard needs 32 bits of the anchor's hash: chance equals cost time only.
 FIELDS = {"h": np.uint32, "content": np.uint64, "sides": np.uint16, "doc": np.int64, "low": np.int32, "more": np.uint8}
+#: Besides, where several rows are one document: doc is then the row's number, and this its document.
+OF = {"of": np.int64}
 
 
 def pieces(values: np.ndarray, first: np.ndarray, width: int, k: int) -> tuple[np.ndarray, ...]:
@@ -63,23 +65,27 @@ def shared_side(group: np.ndarray, side: np.ndarray) -> np.ndarray:
 
 
 def packets(docs: DataFrame, units, width: int, k: int, shards: int) -> DataFrame:
-    """shard and columns of packed arrays: all pieces of all rows. units(batch) yields values and row starts and doc ids."""
+    """shard and columns of packed arrays: all pieces of all rows. units(batch) yields values and row starts and doc ids.
+
+    If docs has the column of, units yields that too, and the packets hold it.
+    """
+    fields = FIELDS | (OF if "of" in docs.columns else {})
 
     def send(gathered):
-        h, content, sides, doc, low, high = (np.concatenate(x) for x in zip(*gathered, strict=True))
+        h, content, sides, doc, low, high, *of = (np.concatenate(x) for x in zip(*gathered, strict=True))
         shard = (h >> np.uint64(40)).astype(np.int64) % shards
         order = np.argsort(shard, kind="stable")
         ends = np.searchsorted(shard[order], np.arange(shards + 1))
         full = np.flatnonzero(np.diff(ends))
-        columns = [pa.array([x[order[ends[s] : ends[s + 1]]].tobytes() for s in full], pa.binary()) for x in (h.astype(np.uint32), content, sides, doc, low.astype(np.int32), (high - low).astype(np.uint8))]
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *columns], ["shard", *FIELDS])
+        columns = [pa.array([x[order[ends[s] : ends[s + 1]]].tobytes() for s in full], pa.binary()) for x in (h.astype(np.uint32), content, sides, doc, low.astype(np.int32), (high - low).astype(np.uint8), *of)]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *columns], ["shard", *fields])
 
     def run(batches):
         gathered, n = [], 0
-        for values, first, ids in units(batches):
+        for values, first, ids, *of in units(batches):
             h, content, sides, row, low, high = pieces(values, first, width, k)
             if len(h):
-                gathered.append((h, content, sides, ids[row], low, high))
+                gathered.append((h, content, sides, ids[row], low, high, *(x[row] for x in of)))
                 n += len(h)
             if n >= PACKET_ANCHORS:
                 yield send(gathered)
@@ -87,24 +93,26 @@ def packets(docs: DataFrame, units, width: int, k: int, shards: int) -> DataFram
         if gathered:
             yield send(gathered)
 
-    return map_batches(docs, run, "shard int, " + ", ".join(f"{x} binary" for x in FIELDS))
+    return map_batches(docs, run, "shard int, " + ", ".join(f"{x} binary" for x in fields))
 
 
 def settle(sent: DataFrame, shards: int, decide) -> DataFrame:
     """Rows doc, low, high, h and open: pieces that recur (open false) and pieces to compare by windows (open true).
 
     decide(doc, kind, kind_first, kind_count, group_kinds, group_docs) gives the masks of recurring and open pieces; all arrays
-    are by piece, sorted by anchor, content, document and place.
+    are by piece, sorted by anchor, content, document and place. It is given the packets' ``of`` as doc, if they have that.
     """
+    fields = FIELDS | (OF if "of" in sent.columns else {})
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        h, content, sides, doc, low, more = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for b in parts for x in b.column(name)]) for name, kind in FIELDS.items())
-        order = np.lexsort((low, doc, content, h))
+        h, content, sides, doc, low, more, *of = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for b in parts for x in b.column(name)]) for name, kind in fields.items())
+        order = np.lexsort((low, doc, *of, content, h))
         h, content, sides, doc, low = h[order], content[order], sides[order], doc[order], low[order]
         high = low + more[order]
+        of = of[0][order] if of else doc
         new_group = np.concatenate(([True], h[1:] != h[:-1]))
         new_kind = new_group | np.concatenate(([True], content[1:] != content[:-1]))
         kind = np.cumsum(new_kind) - 1
@@ -113,8 +121,8 @@ def settle(sent: DataFrame, shards: int, decide) -> DataFrame:
         group = np.cumsum(new_group) - 1
         kinds = np.bincount(group[at])
         begin = np.flatnonzero(new_group)
-        several = np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin)
-        done, open_ = decide(doc, kind, at, count, kinds[group], several[group])
+        several = np.minimum.reduceat(of, begin) != np.maximum.reduceat(of, begin)
+        done, open_ = decide(of, kind, at, count, kinds[group], several[group])
         side = sides[at].astype(np.int64)
         open_ &= (shared_side(group[at], side >> 8) | shared_side(group[at], side & 255))[kind]
         for mask, flag in ((done, False), (open_, True)):

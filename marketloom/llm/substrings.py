@@ -6,7 +6,7 @@ permuted common prefixes mark runs of suffixes that share the string length, and
 doc_id. All equal strings have one anchor, so they meet in one shard; nothing is compared across shards.
 
 Defined cases: null text counts as empty; rows of one doc_id are one document for the comparison (none removes from the other)
-and each is returned; texts shorter than the string lose nothing; rows of null doc_id are left out; an empty table gives none.
+and each is returned with its own spans, told apart by a number of its own; texts shorter than the string lose nothing; rows of null doc_id are left out; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm.anchors import SHARD_ANCHORS, by_document, packets, settle, span_arrays
-from marketloom.llm.common import VALUES, join_spans, map_batches, raw, staged, steps
+from marketloom.llm.common import VALUES, join_spans, map_batches, numbered, raw, staged, steps, told_apart
 from marketloom.llm.suffix_arrays import permuted_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 20
@@ -30,7 +30,7 @@ SHARD_BYTES = 1 << 20
 def byte_units(batches):
     for b in steps(batches):
         data, rows = raw(b.column("text"))
-        yield VALUES[False][data], rows, b.column("doc_id").to_numpy()
+        yield VALUES[False][data], rows, b.column("row_id").to_numpy(), *(b.column(x).to_numpy() for x in ("of",) if x in b.schema.names)
 
 
 def decide(doc, kind, at, count, kinds, several):
@@ -40,25 +40,25 @@ def decide(doc, kind, at, count, kinds, several):
 
 
 def snippets(rows: DataFrame, length: int) -> DataFrame:
-    """h, doc, low and the bytes of every piece that is compared by windows."""
+    """h, doc (the row), of (its document), low and the bytes of every piece that is compared by windows."""
 
     def run(batches):
         for b in steps(batches):
             out = []
             low, high, h, at = span_arrays(b.column("open"))
             data, rows = raw(b.column("text"))
-            for r, (doc, i, j) in enumerate(zip(b.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            for r, (doc, of, i, j) in enumerate(zip(b.column("row_id").to_pylist(), b.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)):
                 text = data[rows[r] : rows[r + 1]].tobytes()
-                out += [(x, doc, a, text[a : z + length]) for x, a, z in zip(h[i:j].tolist(), low[i:j].tolist(), high[i:j].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["h", "doc", "low", "bytes"])
+                out += [(x, doc, of, a, text[a : z + length]) for x, a, z in zip(h[i:j].tolist(), low[i:j].tolist(), high[i:j].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["h", "doc", "of", "low", "bytes"])
 
-    return map_batches(rows, run, "h long, doc long, low int, bytes binary")
+    return map_batches(rows, run, "h long, doc long, of long, low int, bytes binary")
 
 
 def shard_hits(length: int):
     """Starts in snippets whose string a smaller document has, as pieces (doc, low, high)."""
 
-    def hits(doc: np.ndarray, low: np.ndarray, parts: list[bytes]):
+    def hits(doc: np.ndarray, of: np.ndarray, low: np.ndarray, parts: list[bytes]):
         size = np.array([len(x) for x in parts])
         flat = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.int64) + 2
         ends = np.cumsum(size + 1) - 1
@@ -72,22 +72,22 @@ def shard_hits(length: int):
         run = np.cumsum(~(shared & room[order]))
         least = np.full(int(run[-1]) + 1, np.iinfo(np.int64).max)
         ok = room[order]
-        np.minimum.at(least, run[ok], doc[which[order[ok]]])
-        hit = np.sort(order[ok][doc[which[order[ok]]] > least[run[ok]]])
+        np.minimum.at(least, run[ok], of[which[order[ok]]])
+        hit = np.sort(order[ok][of[which[order[ok]]] > least[run[ok]]])
         first = np.flatnonzero(np.diff(hit, prepend=-2) > 1)  # runs of starts; a mark lies between snippets
         last = np.append(first[1:], len(hit)) - 1 if len(hit) else first
-        of = which[hit[first]]
-        return doc[of], low[of] + inside[hit[first]], low[of] + inside[hit[last]]
+        part = which[hit[first]]
+        return doc[part], low[part] + inside[hit[first]], low[part] + inside[hit[last]]
 
     def run(batches):
-        gathered: dict[str, list] = {"h": [], "doc": [], "low": [], "bytes": []}
+        gathered: dict[str, list] = {"h": [], "doc": [], "of": [], "low": [], "bytes": []}
 
         def flush(cut_group: bool):
             """Whole anchor groups go to one suffix array; the last group may go on in the next batch."""
             h = np.array(gathered["h"])
             to = len(h) if not cut_group else int(np.searchsorted(h, h[-1]))
             if to:
-                doc, start, stop = hits(np.array(gathered["doc"][:to]), np.array(gathered["low"][:to]), gathered["bytes"][:to])
+                doc, start, stop = hits(np.array(gathered["doc"][:to]), np.array(gathered["of"][:to]), np.array(gathered["low"][:to]), gathered["bytes"][:to])
                 for x in gathered.values():
                     del x[:to]
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(np.zeros(len(doc), np.int64))], ["doc", "low", "high", "h"])
@@ -107,17 +107,20 @@ def shard_hits(length: int):
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, text, and spans: the byte ranges [start, end) that stand in a document of smaller doc_id, as pairs of int64."""
+    """row_id, doc_id, text, and spans: the byte ranges [start, end) that stand in a document of smaller doc_id. One row a row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    apart = told_apart(docs)
+    docs = numbered(docs, apart).select("row_id", "doc.doc_id", "doc.text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(8, int(2 * total / (length - gram + 2)) // SHARD_ANCHORS)
-    found = staged(settle(packets(docs, byte_units, length, gram, shards), shards, decide), "pieces")
-    texts = docs.repartition("doc_id")
-    compared = snippets(texts.join(by_document(found.where("open"), "open").withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "text", "open"), length)
+    sent = docs.select("row_id", "text") if apart else docs.withColumnRenamed("doc_id", "of")
+    found = staged(settle(packets(sent, byte_units, length, gram, shards), shards, decide), "pieces")
+    texts = docs.repartition("row_id")
+    compared = snippets(texts.join(by_document(found.where("open"), "open").withColumnRenamed("doc", "row_id"), "row_id").select("row_id", "doc_id", "text", "open"), length)
     parts = max(8, shards // 4)
     hits = map_batches(compared.dropDuplicates(["h", "doc", "low"]).repartition(parts, "h").sortWithinPartitions("h"), shard_hits(length), "doc long, low int, high int, h long")
-    spans = by_document(found.where("not open").select("doc", "low", "high", "h").unionByName(hits), "spans").withColumnRenamed("doc", "doc_id")
-    return texts.join(spans, "doc_id", "left")
+    spans = by_document(found.where("not open").select("doc", "low", "high", "h").unionByName(hits), "spans").withColumnRenamed("doc", "row_id")
+    return texts.join(spans, "row_id", "left")
 
 
 def removed(text: bytes, low: np.ndarray, high: np.ndarray, length: int) -> tuple[bytes, np.ndarray]:

@@ -177,6 +177,23 @@ def test_op5_and_op8_against_all_windows(spark, tmp_path):
     assert {r[0]: tuple(r)[1:] for r in phrases.op8_phrase_automata(spark, sf).collect()} == brute.phrases(docs, 35)
 
 
+def test_op5_rows_that_share_a_doc_id(spark, tmp_path):
+    """Each row has its own spans; rows of one doc_id take nothing from each other, and one repeated row stays as it is."""
+    some = texts(40, 12)
+    docs = [(k // 2, t) for k, t in enumerate(some)] + [(9, some[9]), (30, "z" * 70 + some[0]), (30, some[1] + " y"), (3, "z" * 70), *EDGES[:3]]
+    first = {}
+    for i, t in docs:
+        x = (t or "").encode()
+        for k in range(len(x) - 49):
+            first[x[k : k + 50]] = min(first.get(x[k : k + 50], i), i)
+    want = []
+    for i, t in docs:
+        x = (t or "").encode()
+        cut = {z for k in range(len(x) - 49) if first[x[k : k + 50]] < i for z in range(k, k + 50)}
+        want.append((i, len(x), len(cut), len([z for z in cut if z - 1 not in cut]), hashlib.sha256(bytes(c for z, c in enumerate(x) if z not in cut)).hexdigest()))
+    assert sorted(map(tuple, substrings.op5_suffix_array_dedup(spark, folder(spark, tmp_path, docs)).collect())) == sorted(want)
+
+
 def test_op6_order_and_likeness(spark):
     rows = fingerprints.op6_merkle_fingerprints(spark, SF).collect()
     docs = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()), reverse=True)
