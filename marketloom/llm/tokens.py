@@ -3,7 +3,8 @@
 White space never stands inside a pre-token of this vocabulary, and runs of Latin letters and runs of signs are pre-tokens
 of their own. numpy cuts a batch of texts into such units and looks them up by hash in a bounded table that each Python
 worker keeps; the library encodes only units that it has not met. A piece between white space that holds anything else
-(digits, apostrophes, other scripts, special tokens) is one unit, encoded whole.
+(digits, apostrophes, other scripts, special tokens) is one unit, encoded whole and looked up as it is written: special
+tokens and composed marks depend on case.
 """
 
 from __future__ import annotations
@@ -132,7 +133,11 @@ class Coder:
         start, end, plain, first = units(data, rows)
         if not len(start):
             return np.zeros(0, self.kind), np.zeros(len(rows), np.int64)
-        h = span_hashes(VALUES[True][data], start, end)
+        values = VALUES[True][data]
+        upper = np.flatnonzero((data >= 65) & (data <= 90))
+        upper = upper[~plain[np.searchsorted(start, upper, side="right") - 1]]
+        values[upper] = VALUES[False][data[upper]]  # case counts in units that the library encodes whole
+        h = span_hashes(values, start, end)
         entry = self.find(h)
         lost = np.flatnonzero(entry < 0)
         begin, length, source = self.begin[entry].astype(np.int64), self.length[entry].astype(np.int64), self.flat

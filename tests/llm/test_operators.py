@@ -56,6 +56,20 @@ def test_tokens_equal_the_library():
         assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [c.whole.encode(x, add_special_tokens=False).ids for x in some]
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_tokens_depend_on_case_where_the_library_does(turn):
+    """Whichever spelling a worker meets first, in one batch or in several."""
+    pairs = [("<|endoftext|>", "<|ENDOFTEXT|>"), ("<|startoftext|>", "<|StartOfText|>"), ("j\u030c", "J\u030c"), ("a1b", "A1B"), ("word", "WORD"), ("été", "éTé")]
+    c = tokens.Coder(tokens.vocabulary_path())
+    want = lambda x: c.whole.encode(x, add_special_tokens=False).ids
+    assert all(want(a) != want(b) for a, b in pairs[:3])
+    one_by_one = [[x] for p in pairs for x in p[::turn]]
+    for some in [*one_by_one, *one_by_one[::-1], [x for p in pairs for x in p[::turn]]]:
+        raw = [x.encode() for x in some]
+        ids, first = c.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [want(x) for x in some]
+
+
 def test_op1_round_trip(spark):
     from tokenizers import Tokenizer
 
