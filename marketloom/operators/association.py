@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.columns import rounded
 
 P_VALUE, CRAMER_V = 0.05, 0.05
-# Upper 5 % points of chi-square for 1 to 30 degrees of freedom.
+# Upper 5 % points of chi-square for 1 to 30 degrees of freedom, as the SQL below has them.
 CHI2_LIMITS = [
     3.841, 5.991, 7.815, 9.488, 11.070, 12.592, 14.067, 15.507, 16.919, 18.307, 19.675, 21.026, 22.362, 23.685, 24.996,
     26.296, 27.587, 28.869, 30.144, 31.410, 32.671, 33.924, 35.172, 36.415, 37.652, 38.885, 40.113, 41.337, 42.557, 43.773,
@@ -27,14 +30,30 @@ def category_breakdown(table: DataFrame) -> DataFrame:
     return table.select("feature_name", "category", "n_no", "n_yes", n.alias("n_total"), rounded(100.0 * F.col("n_no") / n, 2).alias("pct_no"), rounded(100.0 * F.col("n_yes") / n, 2).alias("pct_yes"))
 
 
-def limit_of(dof: Column) -> Column:
-    return F.element_at(F.array(*(F.lit(x) for x in CHI2_LIMITS)), F.greatest(F.lit(1), F.least(dof, F.lit(len(CHI2_LIMITS)))).cast("int"))
+def chi2_tail(x: float, dof: int) -> float:
+    """Chance that chi-square of any degrees of freedom is over x, as a finite sum."""
+    if x <= 0 or dof < 1:
+        return 1.0
+    h, j = x / 2, 0.5 if dof % 2 else 0.0
+    total = [math.erfc(math.sqrt(h))] if dof % 2 else []
+    while j < dof / 2:
+        total.append(math.exp(j * math.log(h) - h - math.lgamma(j + 1)))
+        j += 1
+    return min(1.0, math.fsum(total))
+
+
+def p_value(chi2: Column, dof: Column) -> Column:
+    @F.pandas_udf("double")
+    def tail(x: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([chi2_tail(a, int(b)) for a, b in zip(x, k, strict=True)], dtype="float64")
+
+    return tail(chi2, dof)
 
 
 def feature_summary(table: DataFrame) -> DataFrame:
-    """Chi-square (with continuity correction at one degree of freedom), Cramér's V, share of all V, and whether it matters.
+    """Chi-square (with continuity correction at one degree of freedom), its p-value, Cramér's V, share of all V, and whether it matters.
 
-    A feature matters if its chi-square passes the 5 % point and its V the threshold; over 30 degrees take the point of 30.
+    A feature matters if its p-value is under the threshold and its V at or over its own.
     """
     own = Window.partitionBy("feature_name")
     cells = table.withColumns({"no": F.sum("n_no").over(own), "yes": F.sum("n_yes").over(own), "k": F.count("*").over(own)})
@@ -51,9 +70,10 @@ def feature_summary(table: DataFrame) -> DataFrame:
     v = F.when(live, F.sqrt(F.col("chi2") / F.col("n"))).otherwise(0.0)  # two classes, so the smaller side less one is 1
     every = Window.partitionBy()
     out = sums.withColumn("v", v).withColumn("share", F.when(F.sum("v").over(every) > 0, 100.0 * F.col("v") / F.sum("v").over(every)).otherwise(0.0))  # a row a feature
+    out = out.withColumn("p", F.when(live, p_value(F.col("chi2"), F.col("k") - 1)).otherwise(1.0))
     return out.select(
         "feature_name", rounded(F.col("chi2"), 3).alias("chi2"), (F.col("k") - 1).alias("dof"), rounded(F.col("v"), 4).alias("cramer_v"), rounded(F.col("share"), 3).alias("relative_importance_pct"),
-        (live & (F.col("chi2") > limit_of(F.col("k") - 1)) & (F.col("v") >= CRAMER_V)).cast("int").alias("is_important"), F.col("n").alias("contingency_n"),
+        (live & (F.col("p") < P_VALUE) & (F.col("v") >= CRAMER_V)).cast("int").alias("is_important"), F.col("n").alias("contingency_n"), F.col("p").alias("p_value"),
     )
 
 
@@ -73,7 +93,7 @@ FEATURES = ["segment", "nation", "region", "band", "overdrawn"]
 
 
 def churn_feature_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feature_summary(contingency(lost_customers(spark, sf_dir), FEATURES, "lost"))
+    return feature_summary(contingency(lost_customers(spark, sf_dir), FEATURES, "lost")).drop("p_value")
 
 
 def churn_category_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Business KPIs, risk and advice, and the metrics of models."""
+"""Business KPIs and advice, and the metrics of models."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Peers of one model: percentile, gaps to averages and targets, nearest neighbours, bands."""
+"""Peers of one model: percentile, gaps to averages, nearest neighbours, bands."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Text chunks, term search, exact duplicates and contact extraction over documents."""
+"""Term search, exact duplicates and contact extraction over documents."""
 
 from __future__ import annotations
 

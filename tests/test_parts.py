@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions.columns import canonical_url, number, page_type, rounded, site_id, visible_text
-from marketloom.operators.association import category_breakdown, contingency, feature_summary
+from marketloom.operators.association import category_breakdown, chi2_tail, contingency, feature_summary
 from marketloom.operators.health import advice
 from marketloom.operators.peers import nearest
 from marketloom.operators.tables import insert_missing, upsert
@@ -25,6 +25,16 @@ def test_columns(spark):
     assert one(spark, visible_text(F.lit("<script>a</script><p>b  c</p><style>d</style>"))) == "b c"
 
 
+def test_association_of_many_categories(spark):
+    """p-values for any degrees of freedom; 99 degrees aren't held against the 5 % point of 30."""
+    for x, dof in ((3.841459, 1), (5.991465, 2), (43.772972, 30), (123.225221, 99), (124.342113, 100)):
+        assert abs(chi2_tail(x, dof) - 0.05) < 1e-7
+    df = spark.createDataFrame([(f"f{k}", c) for k in range(100) for c in [0] * (10 + 10 * (k % 2)) + [1] * 10], "f string, t int")
+    row = feature_summary(contingency(df, ["f"], "t")).first()
+    assert row.dof == 99 and 43.773 < row.chi2 < 123.225 and row.p_value > 0.05 and row.is_important == 0
+    assert row.cramer_v >= 0.05  # only the p-value speaks against it
+
+
 def test_association_with_correction_and_edges(spark):
     rows = [("yes", 1)] * 30 + [("yes", 0)] * 20 + [("no", 1)] * 10 + [("no", 0)] * 40 + [(None, 1), ("yes", None), ("no", 7)]
     df = spark.createDataFrame(rows, "f string, t int")
