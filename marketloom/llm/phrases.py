@@ -1,9 +1,9 @@
-"""Operator 8: recurring passages of words, located by Aho-Corasick automata.
+"""Operator 8: recurring passages of words, found by anchors and cut with Aho-Corasick automata.
 
-Anchors (``anchors.py``) give candidates; pieces equal as a whole recur, others are confirmed window by window. The confirmed
-runs of windows of a shard of documents name its phrases: the first window of each run. Every shard compiles one automaton
-(pyahocorasick) of the phrases confirmed in it, streams all its documents through it, and goes on from each occurrence while the next
-window is a confirmed one. Shards hold the documents of one hash range, so automata grow with a shard, not with the corpus.
+Anchors (``anchors.py``) give candidates; pieces equal as a whole recur, others are confirmed window by window, by a join on
+their hashes. That settles every place of every recurring window: the automata find no other. For each slice of about 2 MB of
+documents one automaton (pyahocorasick) holds the first window of each confirmed run in it, the slice's documents that have a
+confirmed window are streamed through it, and from each occurrence it goes on while the next window is a confirmed one.
 
 Defined cases: null text has no words; fewer words than a window lose nothing; of repeated rows all windows recur; rows of
 null doc_id are left out; an empty table gives none.
