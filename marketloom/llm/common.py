@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles; a longer text is handled alone.
 STEP_BYTES = 1 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 ASCII_SPACE = tuple(b"\x20\x09\x0a\x0b\x0c\x0d")
 
 
@@ -53,8 +54,10 @@ def numbered(docs: DataFrame, apart: bool) -> DataFrame:
 
 
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with batches small enough for long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """``mapInArrow`` with batches small enough for long texts, where the session leaves their bytes at Spark's default."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES) == "67108864b":
+        conf.set(BATCH_BYTES, str(4 * STEP_BYTES))
     return df.mapInArrow(function, schema)
 
 
@@ -178,14 +181,6 @@ def row_starts(first: np.ndarray, n: int) -> np.ndarray:
     return at[at + n <= first[1:][row]]
 
 
-def text_rows(column: pa.Array) -> list[str]:
-    return [x or "" for x in column.to_pylist()]
-
-
-def batch(names_and_arrays: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(names_and_arrays)
-
-
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

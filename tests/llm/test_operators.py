@@ -118,9 +118,11 @@ def test_op4_against_all_pairs(spark, n, num):
 
 
 @pytest.mark.parametrize("families", [1, 3])
-def test_op4_families_below_the_threshold(spark, monkeypatch, families):
+@pytest.mark.parametrize(("around", "group"), [(0, 2), (2, 2)])
+def test_op4_families_below_the_threshold(spark, monkeypatch, families, around, group):
     """Large groups of texts that are alike without being linked, linked pairs among them, and no common original."""
-    monkeypatch.setattr(near_duplicates, "SMALL", 2)
+    monkeypatch.setattr(near_duplicates, "AROUND", around)
+    monkeypatch.setattr(near_duplicates, "GROUP", group)
     rng, docs = random.Random(families), []
     for k in range(240):
         if k % 4 == 3:
@@ -156,7 +158,8 @@ def test_op4_rows_that_share_a_doc_id(spark):
     near = near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, (85, 100)).collect()
     assert len(near) == 42 and {r.component_id for r in near} == {1} and sum(r.kept for r in near) == 2
     got = near_duplicates.near_duplicates(spark.createDataFrame(CLASHING, "doc_id long, text string"), 3, (85, 100)).collect()
-    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(5, 5, True), (5, 5, True), (7, 5, False), (8, 8, False), (8, 8, True), (8, 8, True), (9, 5, False)]
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id) == [(5, 5, True), (5, 5, True), (7, 5, False), (8, 8, False), (8, 8, True), (8, 8, True), (9, 5, False)]
+    assert sorted((r.n_shingles, r.component_id or 0, r.kept) for r in got if not r.doc_id) == [(0, 0, True), (5, 0, False), (5, 0, True), (5, 0, True), (7, 5, False)]
 
 
 def test_pipeline_keeps_rows_of_null_and_clashing_doc_ids(spark, tmp_path):
