@@ -9,8 +9,8 @@ The model learns from a bounded sample: ``SAMPLE`` labelled documents of each cl
 chosen by a hash of their id. Every text is scored whole.
 
 Defined cases: null or empty text, or one without letters, gets the score of no evidence; repeated rows are scored each; a
-sample without both classes gives the share of toxic labels (0 if there are none) to all; input columns with the names of
-new ones are replaced.
+sample without both classes gives the share of toxic labels (0 if there are none) to all; ties of the sample's order go by
+doc_id; very long texts are scored alone; an empty table gives no rows; input columns with the names of new ones are replaced.
 """
 
 from __future__ import annotations
@@ -76,9 +76,16 @@ class ToxicChain:
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
-            return np.zeros(h.shape, np.int64)
+            return np.zeros(h.shape, np.int32)
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == h, at + 1, 0)
+        return np.where(self.vocabulary[at] == h, at + 1, 0).astype(np.int32)
+
+    def odds(self, batch: Batch) -> np.ndarray:
+        """Logarithm of each word's own odds to be toxic."""
+        d = self.word[batch.number[0]]
+        for x in batch.number[1:]:
+            d += self.word[x]
+        return d
 
     def fit(self, h: np.ndarray, first: np.ndarray, toxic: np.ndarray, share: float, rounds: int = 60) -> ToxicChain:
         row = repeat_rows(first)
@@ -95,21 +102,25 @@ class ToxicChain:
             marks.append(((p > 0.9) & (gain >= 25))[n >= 3])
         order = np.argsort(np.concatenate(names))
         self.vocabulary, marked = np.concatenate(names)[order], np.append(False, np.concatenate(marks)[order])
-        batch = Batch(self.numbers(h), first)
+        batch = Batch(np.stack([self.numbers(x) for x in h]), first)
+        del h, own, before, at, name, number
         tag = marked[batch.number].any(axis=0) & (toxic[row] == 1)
         follows = np.flatnonzero(row[1:] == row[:-1])
         self.word = np.zeros(len(self.vocabulary) + 1)
         step_word, step_pairs = np.full_like(self.word, 1e-8), np.full((2, 2), 1e-8)
         seen_pairs = np.array([[np.sum(~tag[follows] & ~tag[follows + 1]), np.sum(~tag[follows] & tag[follows + 1])], [np.sum(tag[follows] & ~tag[follows + 1]), np.sum(tag[follows] & tag[follows + 1])]], float)
         for _ in range(rounds):
-            d = self.word[batch.number].sum(axis=0)
+            d = self.odds(batch)
             ahead, back = batch.odds(d, self.pairs)
             p = ahead * back / (1 + ahead * back)
-            g = sum(np.bincount(x, tag - p, len(self.word)) for x in batch.number) - 0.05 * self.word
+            g = -0.05 * self.word
+            for x in batch.number:
+                g += np.bincount(x, tag - p, len(self.word))
             g[0] = 0 if len(g) > 1 else g[0]
             r, x = ahead[follows], np.exp(np.clip(d[follows + 1], -30, 30)) * back[follows + 1]
-            joint = np.stack((np.ones_like(r), x, r, r * x)) * np.exp(self.pairs).reshape(4, 1)
-            gp = seen_pairs - (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2) - 0.05 * self.pairs
+            (a, b), (c, f) = np.exp(self.pairs)
+            every = 1 / (a + b * x + c * r + f * r * x)
+            gp = seen_pairs - np.array([[a * every.sum(), b * (x @ every)], [c * (r @ every), f * ((r * x) @ every)]]) - 0.05 * self.pairs
             step_word, step_pairs = step_word + g * g, step_pairs + gp * gp  # adaptive steps
             self.word += 0.7 * g / np.sqrt(step_word)
             self.pairs += 0.3 * gp / np.sqrt(step_pairs)
@@ -121,7 +132,7 @@ class ToxicChain:
         return self
 
     def marginals(self, batch: Batch) -> np.ndarray:
-        ahead, back = batch.odds(self.word[batch.number].sum(axis=0), self.pairs)
+        ahead, back = batch.odds(self.odds(batch), self.pairs)
         return ahead * back / (1 + ahead * back)
 
     @staticmethod
@@ -156,9 +167,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars
     if len(rows) < 2 or toxic.min() == toxic.max():
         model.weights[0] = np.log((share + 1e-9) / (1 - share + 1e-9))
         return model
-    data, at = blob([r[0] for r in rows])
-    _, start, end, first = words(data, at, LETTERS, lower=True)
-    return model.fit(token_features(data, start, end), first, toxic, share)
+    h, sizes = [], [np.zeros(1, np.int64)]
+    for k in range(0, len(rows), 100):
+        data, at = blob([r[0] for r in rows[k : k + 100]])
+        _, start, end, first = words(data, at, LETTERS, lower=True)
+        h.append(token_features(data, start, end))
+        sizes.append(np.diff(first))
+    return model.fit(np.concatenate(h, axis=1), np.cumsum(np.concatenate(sizes)), toxic, share)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicChain, spans: bool = True) -> DataFrame:
@@ -171,10 +186,10 @@ def score_toxicity(docs: DataFrame, model: ToxicChain, spans: bool = True) -> Da
 
     def run(batches):
         chain = shared.value
-        for b in steps(batches, limit=2 << 20):
+        for b in steps(batches):
             data, rows = raw(b.column("text"))
             _, start, end, first = words(data, rows, LETTERS, lower=True)
-            score, p = chain.score(Batch(chain.numbers(token_features(data, start, end)), first))
+            score, p = chain.score(Batch(np.stack([chain.numbers(x) for x in token_features(data, start, end)]), first))
             new = [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
             if spans:
                 found: list[list[dict]] = [[] for _ in range(b.num_rows)]
