@@ -2,8 +2,9 @@
 
 Toxic documents are rejected, one document of each near-duplicate group stays, passages of the benchmark are cut, personal
 data is masked, and what is left is packed. All stages but the last return the columns of their input; ``n_chars`` follows
-changes of ``text``. Rows are told apart also where doc_ids are null or repeat: each stays unless it is toxic or a near
-duplicate of a row that stays.
+changes of ``text``. Defined cases: rows are told apart also where doc_ids are null or repeat: each stays unless it is toxic or a
+near duplicate of a row that stays; a null text stays null and is packed as an empty one; ties go to the smallest doc_id (null
+last), then by contents; very long texts are handled alone; columns of any name pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,12 +24,19 @@ def recounted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+def aside(docs: DataFrame) -> DataFrame:
+    """docs with all columns but the text renamed, so that none clashes with what an operator adds; no row holds its text twice."""
+    return docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c != "text"})
+
+
+def back(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*(F.col("text" if c == "text" else f"own_{c}").alias(c) for c in columns))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain, trained on the labels, doesn't call toxic."""
     model = toxicity_.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    keep = [F.col(f"doc.{c}").alias(c) for c in docs.columns]
-    scored = toxicity_.score_toxicity(docs.select(F.struct(*docs.columns).alias("doc"), "text"), model, spans=False)
-    return scored.where("predicted = 0").select(*keep)
+    return back(toxicity_.score_toxicity(aside(docs), model, spans=False).where("predicted = 0"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,19 +48,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of benchmark passages."""
-    found = decontamination_.decontaminate(docs.select(F.struct(*docs.columns).alias("doc"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return recounted(unpacked(decontamination_.without_spans(found), docs.columns))
+    found = decontamination_.decontaminate(aside(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return recounted(back(decontamination_.without_spans(found), docs.columns))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data masked."""
-    found = pii_.find_pii(docs.select(F.struct(*docs.columns).alias("doc"), "text"), pii_.train(docs))
-    return recounted(unpacked(pii_.redacted(found), docs.columns))
-
-
-def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of the struct doc, with the text beside it in place of its own."""
-    return rows.select(*(F.col("text") if c == "text" else F.col(f"doc.{c}").alias(c) for c in columns))
+    return recounted(back(pii_.redacted(pii_.find_pii(aside(docs), pii_.train(docs))), docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
