@@ -2,17 +2,21 @@
 
 Documents longer than the capacity are cut into full pieces and a rest. What is packed is the histogram of piece lengths,
 which has no more entries than the capacity, so the search is on the driver and as large for any corpus. Around the
-largest piece left, undominated fillings are enumerated: pieces that together fit one larger piece that also fits are never
-tried, and of the fillings with the same sum the one with the larger pieces stands first. A filling is used as often as the
-counts allow. A branch is cut when its waste shows that it can't beat the incumbent, at first the best-fit solution.
+largest piece left, undominated fillings are enumerated: one whose pieces, or some of them together, fit one larger piece that
+also fits is never tried, and of the fillings with the same sum the one with the larger pieces stands first. A branch is cut
+when its waste shows that it can't beat the incumbent, at first the best-fit solution; where that meets the lower bound
+there is nothing to search. The search is exact with ``width=None``. Else it looks at ``looks`` second pieces for ``width``
+fillings, uses each as often as the counts allow, and keeps the incumbent after ``nodes`` steps; branches wait, none is dropped.
 A piece finds its place by its rank among pieces of its length: tasks number their own pieces, a small table adds what the
 tasks before hold, and slots are looked up in a table of the fillings used.
 
-Defined cases: null text counts as empty (the end id alone); repeated rows are packed each; an empty table gives no rows.
+Defined cases: null text counts as empty (the end id alone); repeated rows, and those of null doc_id, are packed each; very long
+texts are cut into pieces; ties of one length go by task and place; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_right
 
@@ -27,8 +31,8 @@ from marketloom.llm.tokens import coder, vocabulary_path
 
 CAPACITY = 2048
 END_ID = 0
-#: Fillings tried around a largest piece, and steps of the search before the incumbent stands.
-WIDTH, NODES = 3, 20_000
+#: Fillings tried around a largest piece, second pieces looked at for them, and steps of the search before the incumbent stands.
+WIDTH, LOOKS, NODES = 3, 400, 20_000
 
 
 def pieces(docs: DataFrame, capacity: int, end_id: int, path: str, with_ids: bool) -> DataFrame:
@@ -92,7 +96,27 @@ def best_fit(left: Left, room: int, begun: tuple[int, ...]) -> tuple[int, ...]:
     return begun
 
 
-def fillings(left: Left, capacity: int, width: int) -> list[tuple[int, ...]]:
+def every_filling(left: Left, capacity: int) -> list[tuple[int, ...]]:
+    """All undominated fillings around the largest length left, least waste first."""
+    found: list[tuple[int, ...]] = []
+
+    def go(chosen: tuple[int, ...], room: int, most: int) -> None:
+        if not left.largest(room, chosen):
+            sums = {0}
+            for x in chosen[1:]:
+                sums |= {s + x for s in sums}
+            if not any(n > chosen.count(z) and any(s <= z <= s + room and s != z for s in sums) for z, n in left.counts.items()):
+                found.append(chosen)
+            return
+        for x in reversed(left.keys[: bisect_right(left.keys, min(room, most))]):
+            if left.counts[x] > chosen.count(x):
+                go((*chosen, x), room - x, x)
+
+    go((left.keys[-1],), capacity - left.keys[-1], capacity)
+    return sorted(found, key=lambda f: (capacity - sum(f), tuple(-x for x in f)))
+
+
+def fillings(left: Left, capacity: int, width: int, looks: int) -> list[tuple[int, ...]]:
     """Undominated fillings around the largest length left, least waste first."""
     top = left.keys[-1]
     room = capacity - top
@@ -105,7 +129,7 @@ def fillings(left: Left, capacity: int, width: int) -> list[tuple[int, ...]]:
     tried = 0
     at = bisect_right(left.keys, room)
     for x in reversed(left.keys[:at]):
-        if tried >= 400 or sum(sum(f) == capacity for f in found) >= width:
+        if tried >= looks or sum(sum(f) == capacity for f in found) >= width:
             break
         tried += 1
         if left.counts[x] <= (top,).count(x):
@@ -145,29 +169,29 @@ def greedy(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...],
     return out
 
 
-def complete(counts: dict[int, int], capacity: int, width: int = WIDTH, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings and how often each is used; all pieces are placed."""
+def complete(counts: dict[int, int], capacity: int, width: int | None = WIDTH, nodes: float = NODES, looks: int = LOOKS) -> list[tuple[tuple[int, ...], int]]:
+    """Fillings and how often each is used; all pieces are placed. width None: in as few sequences as there can be."""
     counts = {x: k for x, k in counts.items() if k}
     best = greedy(counts, capacity)
     most, least = sum(k for _, k in best), lower_bound(counts, capacity)
     volume = sum(x * k for x, k in counts.items())
-    used = 0
-    stack: list[tuple[Left, list, int, int]] = [(Left(counts), [], 0, 0)]
-    while stack and most > least and used < nodes:
-        left, plan, bins, waste = stack.pop()
-        while left.keys and used < nodes:
+    used, limit = 0, math.inf if width is None else nodes
+    stack: list[tuple[list, int, int]] = [([], 0, 0)]
+    while stack and most > least and used < limit:
+        plan, bins, waste = stack.pop()
+        left = Left(counts)
+        for f, k in plan:
+            left.take(f, k)
+        while left.keys and used < limit:
             used += 1
-            if waste > (most - 1) * capacity - volume:
+            if waste > (most - 1) * capacity - volume or width is None and bins + lower_bound(left.counts, capacity) >= most:
                 break
-            options = fillings(left, capacity, width)
-            for f in reversed(options[1:]):
-                if len(stack) < 64:
-                    other = Left(left.counts)
-                    other.take(f, k := other.times(f))
-                    stack.append((other, [*plan, (f, k)], bins + k, waste + k * (capacity - sum(f))))
-            f = options[0]
-            left.take(f, k := left.times(f))
-            plan, bins, waste = [*plan, (f, k)], bins + k, waste + k * (capacity - sum(f))
+            options = every_filling(left, capacity) if width is None else fillings(left, capacity, width, looks)
+            often = [1 if width is None else left.times(f) for f in options]
+            longer = [([*plan, (f, k)], bins + k, waste + k * (capacity - sum(f))) for f, k in zip(options, often, strict=True)]
+            stack += longer[:0:-1]
+            left.take(options[0], often[0])
+            plan, bins, waste = longer[0]
         if not left.keys and bins < most:
             best, most = plan, bins
     return best
