@@ -5,8 +5,9 @@ their hashes. That settles every place of every recurring window: the automata f
 documents one automaton (pyahocorasick) holds the first window of each confirmed run in it, the slice's documents that have a
 confirmed window are streamed through it, and from each occurrence it goes on while the next window is a confirmed one.
 
-Defined cases: null text has no words; fewer words than a window lose nothing; of repeated rows all windows recur; rows of
-null doc_id are left out; an empty table gives none.
+Defined cases: null text has no words; fewer words than a window lose nothing; of repeated rows, and rows of
+null doc_id with the same text, all windows recur; very long texts are handled alone; other columns are not read; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm.anchors import SHARD_ANCHORS, by_document, packets, settle
-from marketloom.llm.common import SPACED, join_spans, map_batches, raw, signed, staged, steps, window_hashes, words
+from marketloom.llm.common import SPACED, join_spans, map_batches, raw, signed, staged, steps, told_apart, window_hashes, words
 
 WINDOW, GRAM = 35, 8
 
@@ -101,11 +102,10 @@ def located(texts: list[bytes], confirmed: list[list], window: int) -> list[tupl
 
 def remove_phrases(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """row_id, doc_id, text and spans: runs of windows that recur. One row a row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    same = docs.select("doc_id").groupBy("doc_id").count().where("count > 1")
-    if same.isEmpty():
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if told_apart(docs):
         docs = docs.select(F.col("doc_id").alias("row_id"), "*")
-    else:  # rows that share a doc_id are told apart by a number of their own
+    else:  # a number of its own for each row
         docs = staged(docs.select(F.monotonically_increasing_id().alias("row_id"), "*"), "numbered")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(8, int(total / 6 * 2 / (window - gram + 2)) // SHARD_ANCHORS)

@@ -6,7 +6,9 @@ permuted common prefixes mark runs of suffixes that share the string length, and
 doc_id. All equal strings have one anchor, so they meet in one shard; nothing is compared across shards.
 
 Defined cases: null text counts as empty; rows of one doc_id are one document for the comparison (none removes from the other)
-and each is returned with its own spans, told apart by a number of its own; texts shorter than the string lose nothing; rows of null doc_id are left out; an empty table gives none.
+and each is returned with its own spans, told apart by a number of its own; texts shorter than the string lose nothing;
+rows of null doc_id count as one document after all others; very long texts are handled alone; other columns are not read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from marketloom.llm.common import VALUES, join_spans, map_batches, numbered, raw
 from marketloom.llm.suffix_arrays import permuted_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 20
+#: What null stands for in the order of doc_ids.
+LAST = (1 << 63) - 1
 #: Bytes of snippets that one suffix array holds.
 SHARD_BYTES = 1 << 20
 
@@ -47,7 +51,7 @@ def snippets(rows: DataFrame, length: int) -> DataFrame:
             out = []
             low, high, h, at = span_arrays(b.column("open"))
             data, rows = raw(b.column("text"))
-            for r, (doc, of, i, j) in enumerate(zip(b.column("row_id").to_pylist(), b.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            for r, (doc, of, i, j) in enumerate(zip(b.column("row_id").to_pylist(), b.column("of").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)):
                 text = data[rows[r] : rows[r + 1]].tobytes()
                 out += [(x, doc, of, a, text[a : z + length]) for x, a, z in zip(h[i:j].tolist(), low[i:j].tolist(), high[i:j].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["h", "doc", "of", "low", "bytes"])
@@ -108,19 +112,19 @@ def shard_hits(length: int):
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """row_id, doc_id, text, and spans: the byte ranges [start, end) that stand in a document of smaller doc_id. One row a row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     apart = told_apart(docs)
-    docs = numbered(docs, apart).select("row_id", "doc.doc_id", "doc.text")
+    docs = numbered(docs, apart).select("row_id", "doc.doc_id", "doc.text", F.coalesce("doc.doc_id", F.lit(LAST)).alias("of"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(8, int(2 * total / (length - gram + 2)) // SHARD_ANCHORS)
-    sent = docs.select("row_id", "text") if apart else docs.withColumnRenamed("doc_id", "of")
+    sent = docs.select("row_id", "text") if apart else docs.select("row_id", "text", "of")
     found = staged(settle(packets(sent, byte_units, length, gram, shards), shards, decide), "pieces")
     texts = docs.repartition("row_id")
-    compared = snippets(texts.join(by_document(found.where("open"), "open").withColumnRenamed("doc", "row_id"), "row_id").select("row_id", "doc_id", "text", "open"), length)
+    compared = snippets(texts.join(by_document(found.where("open"), "open").withColumnRenamed("doc", "row_id"), "row_id").select("row_id", "of", "text", "open"), length)
     parts = max(8, shards // 4)
     hits = map_batches(compared.dropDuplicates(["h", "doc", "low"]).repartition(parts, "h").sortWithinPartitions("h"), shard_hits(length), "doc long, low int, high int, h long")
     spans = by_document(found.where("not open").select("doc", "low", "high", "h").unionByName(hits), "spans").withColumnRenamed("doc", "row_id")
-    return texts.join(spans, "row_id", "left")
+    return texts.drop("of").join(spans, "row_id", "left")
 
 
 def removed(text: bytes, low: np.ndarray, high: np.ndarray, length: int) -> tuple[bytes, np.ndarray]:
