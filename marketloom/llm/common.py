@@ -6,6 +6,8 @@ give the hash of every substring with two array reads, so no Python loop runs pe
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -58,7 +60,19 @@ def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     conf = df.sparkSession.conf
     if conf.get(BATCH_BYTES) == "67108864b":
         conf.set(BATCH_BYTES, str(4 * STEP_BYTES))
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker waits for its next task, maybe of another stage, with what it has kept."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do so themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def steps(batches, text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -109,7 +123,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.cumprod(have)
-        if size <= 4 * STEP_BYTES:
+        if size <= STEP_BYTES + 64:
             _powers[base] = have
     return have[:n]
 
