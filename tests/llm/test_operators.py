@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -27,14 +29,14 @@ def texts(n, seed, words=("alpha", "Beta", "gámma", "d", "e.f", "the", "of", "t
 
 
 def folder(spark, tmp_path, docs, labels=(), items=()):
-    extra = [(i, t, "en" if i % 2 else None, f"s{i % 3}", len(t or ""), 0.5, "x", 1) for i, t in docs]
+    extra = [(i, t, "en" if (i or 0) % 2 else None, f"s{(i or 0) % 3}", len(t or ""), 0.5, "x", 1) for i, t in docs]
     spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, n_words int").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     return str(tmp_path)
 
 
-EDGES = [(9001, None), (9002, ""), (9003, " \n\t "), (9004, "one"), (9005, "é" * 3000), (9006, "long word " * 9000), (9007, "😀 ok"), (9008, "one")]
+EDGES = [(9001, None), (9002, ""), (9003, " \n\t "), (9004, "one"), (9005, "é" * 3000), (9006, "long word " * 9000), (9007, "😀 ok"), (9008, "one"), (9004, "one"), (None, "one"), (None, "x@y.example " * 40), (None, None)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -42,7 +44,7 @@ def test_edges_and_empty_tables(spark, tmp_path, name):
     sf = folder(spark, tmp_path / "a", EDGES, [(9004, 1, 1), (9007, 0, 0)], [(1, "long word long word"), (2, None), (3, "")])
     rows = queries.QUERIES[name](spark, sf).collect()
     assert {r.doc_id for r in rows} == {i for i, _ in EDGES}
-    assert name == "op7_best_fit_packing" or len(rows) == len(EDGES)
+    assert name == "op7_best_fit_packing" or sorted(r.doc_id or 0 for r in rows) == sorted(i or 0 for i, _ in EDGES)
     assert queries.QUERIES[name](spark, folder(spark, tmp_path / "b", [])).collect() == []
 
 
@@ -188,7 +190,7 @@ def test_suffix_arrays():
 
 
 def test_op5_and_op8_against_all_windows(spark, tmp_path):
-    docs = list(enumerate(texts(60, 11))) + EDGES
+    docs = list(enumerate(texts(60, 11))) + EDGES[:8]
     sf = folder(spark, tmp_path, docs)
     assert {r[0]: tuple(r)[1:] for r in substrings.op5_suffix_array_dedup(spark, sf).collect()} == brute.substrings(docs, 50)
     assert {r[0]: tuple(r)[1:] for r in phrases.op8_phrase_automata(spark, sf).collect()} == brute.phrases(docs, 35)
@@ -197,18 +199,18 @@ def test_op5_and_op8_against_all_windows(spark, tmp_path):
 def test_op5_rows_that_share_a_doc_id(spark, tmp_path):
     """Each row has its own spans; rows of one doc_id take nothing from each other, and one repeated row stays as it is."""
     some = texts(40, 12)
-    docs = [(k // 2, t) for k, t in enumerate(some)] + [(9, some[9]), (30, "z" * 70 + some[0]), (30, some[1] + " y"), (3, "z" * 70), *EDGES[:3]]
+    docs = [(k // 2, t) for k, t in enumerate(some)] + [(9, some[9]), (30, "z" * 70 + some[0]), (30, some[1] + " y"), (3, "z" * 70), *EDGES[:3], (None, some[2]), (None, "q" * 90), (None, "q" * 90)]
     first = {}
     for i, t in docs:
-        x = (t or "").encode()
+        x, i = (t or "").encode(), 1 << 62 if i is None else i
         for k in range(len(x) - 49):
             first[x[k : k + 50]] = min(first.get(x[k : k + 50], i), i)
     want = []
     for i, t in docs:
         x = (t or "").encode()
-        cut = {z for k in range(len(x) - 49) if first[x[k : k + 50]] < i for z in range(k, k + 50)}
+        cut = {z for k in range(len(x) - 49) if first[x[k : k + 50]] < (1 << 62 if i is None else i) for z in range(k, k + 50)}
         want.append((i, len(x), len(cut), len([z for z in cut if z - 1 not in cut]), hashlib.sha256(bytes(c for z, c in enumerate(x) if z not in cut)).hexdigest()))
-    assert sorted(map(tuple, substrings.op5_suffix_array_dedup(spark, folder(spark, tmp_path, docs)).collect())) == sorted(want)
+    assert sorted(map(tuple, substrings.op5_suffix_array_dedup(spark, folder(spark, tmp_path, docs)).collect()), key=str) == sorted(want, key=str)
 
 
 def test_op6_order_and_likeness(spark):
@@ -250,6 +252,44 @@ def test_op7_beats_best_fit():
         assert used == counts and sum(k for _, k in plan) == packing.lower_bound(counts, 10)
 
 
+def fewest(pieces, capacity, bins=()):
+    if not pieces:
+        return len(bins)
+    fits = {b for b in bins if b >= pieces[0]}
+    return min([fewest(pieces[1:], capacity, tuple(sorted([*bins[: (i := bins.index(b))], *bins[i + 1 :], b - pieces[0]]))) for b in fits] + [fewest(pieces[1:], capacity, (*bins, capacity - pieces[0]))])
+
+
+def test_op7_exact_search():
+    rng = random.Random(7)
+    for _ in range(150):
+        some = sorted((rng.randint(1, 12) for _ in range(rng.randint(1, 8))), reverse=True)
+        plan = packing.complete({x: some.count(x) for x in some}, 12, width=None)
+        assert sorted(x for f, k in plan for x in f * k) == sorted(some) and all(sum(f) <= 12 for f, _ in plan)
+        assert sum(k for _, k in plan) == fewest(some, 12)
+
+
+def test_op7_perfect_triples():
+    """Triples that fill a sequence each: no worse than best fit, and within a twentieth of the least."""
+    rng, counts = random.Random(1), {}
+    for _ in range(60):
+        a, b = rng.randint(600, 800), rng.randint(550, 700)
+        for x in (a, b, 2048 - a - b):
+            counts[x] = counts.get(x, 0) + 1
+    plan = sum(k for _, k in packing.complete(counts, 2048))
+    assert 60 <= plan <= min(63, sum(k for _, k in packing.greedy(counts, 2048)))
+
+
+def test_op7_pieces_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library, got = Tokenizer.from_file(tokens.vocabulary_path()), {}
+    for r in packing.op7_best_fit_packing(spark, SF).collect():
+        got.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+    for i, t in ((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()):
+        ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        assert sorted(got[i]) == [(k, a, len(x := ids[a : a + 2048]), zlib.crc32(x.tobytes())) for k, a in enumerate(range(0, len(ids), 2048))]
+
+
 def test_op9_against_all_windows(spark):
     docs, items = list(enumerate(texts(100, 21, ("a", "B", "cé", "d"), 25))) + EDGES[:4], list(enumerate(texts(20, 22, ("a", "B", "cé", "d"), 14))) + [(90, None)]
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
@@ -265,6 +305,53 @@ def test_op10_rules():
     assert got == {"email": ["a.b@c-d.example"], "ip": ["9.8.7.6"], "card": ["4111 1111 1111 1111"], "phone": ["+1 (020) 555-7713"]}
 
 
+RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    def luhn(d):
+        return sum(sum(map(int, str(int(x) * (1 + k % 2)))) for k, x in enumerate(d[::-1])) % 10 == 0
+
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    good = {"email": lambda x: True, "ip": lambda x: max(map(int, x.split("."))) <= 255, "card": lambda x: 13 <= len(digits(x)) <= 19 and luhn(digits(x)), "phone": lambda x: 9 <= len(digits(x)) <= 15}
+    return {k: [m.span() for m in re.finditer(p, text) if good[k](m[0])] for k, p in RULES.items()}
+
+
+def test_op10_rules_against_the_plain_patterns(spark):
+    rng = random.Random(4)
+    some = ["".join(rng.choice("a@.-1 2+%é(7") for _ in range(rng.randint(0, 60))) for _ in range(20_000)]
+    some += [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert all(pii.base_spans(t) == plain_spans(t) for t in some)
+
+
+@pytest.mark.parametrize("unit", ["a", "1", "1.", "a@", "+1(", "1 ", "/-", "a.@b."])
+def test_op10_long_runs_take_linear_time(unit):
+    began = time.time()
+    pii.base_spans(unit * (1_000_000 // len(unit)) + "@a")
+    pii.candidates(unit * (1_000_000 // len(unit)) + "@a")
+    assert time.time() - began < 20
+
+
+def test_op10_finds_forms_that_the_rules_miss(spark):
+    """Passages planted in documents that the trees haven't seen: what is added is personal data, and most of it is added."""
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    rng, seen = random.Random(99), {k: [0, 0, 0] for k in pii.ALL}
+    for _ in range(3_000):
+        before, passage, after, kind, real = pii.planted(rng)
+        text = f"lorem ipsum {before}{passage}{after} dolor sit"
+        base = pii.base_spans(text)
+        span = (len("lorem ipsum " + before), len("lorem ipsum " + before + passage))
+        added = [(s, e) for _, s, e in pii.added(text, base, *model)]
+        if any(base.values()):
+            continue
+        of = seen[pii.ALL[kind]]
+        of[0] += real
+        of[1] += real and span in added
+        of[2] += not real and bool(added)
+    assert sum(x[2] for x in seen.values()) < 30
+    assert all(seen[k][1] > 0.8 * seen[k][0] > 100 for k in ("email", "card", "phone", "secret")), seen
+
+
 def test_op10_base_spans_stay(spark):
     rows = pii.op10_pii_spans(spark, SF).collect()
     texts_ = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
