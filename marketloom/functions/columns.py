@@ -78,17 +78,17 @@ BLOCKED = r"/logout\b|/cart\b|/checkout\b|/account\b|/admin\b|/wp-admin\b|/my-ac
 
 
 def page_type(url: Column) -> Column:
+    path = F.lower(url_path(url))
     out = F.when(url_host(url) == "", F.lit("unknown"))
     for name, pattern in PAGE_TYPES:
-        out = out.when(url_path(url).rlike(f"(?i){pattern}"), F.lit(name))
+        out = out.when(path.rlike(pattern), F.lit(name))
     return out.otherwise("page")
 
 
 def url_priority(url: Column) -> Column:
-    kind, out = page_type(url), None
-    for k, (name, _) in enumerate(PAGE_TYPES):
-        out = F.when(kind == name, k) if out is None else out.when(kind == name, k)
-    return out.otherwise(50)
+    """Place of the page type, 50 for all others; the type is tested once."""
+    places = F.create_map(*(F.lit(x) for k, (name, _) in enumerate(PAGE_TYPES) for x in (name, k)))
+    return F.coalesce(F.element_at(places, page_type(url)), F.lit(50))
 
 
 def blocked(url: Column) -> Column:

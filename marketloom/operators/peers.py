@@ -30,9 +30,12 @@ def level(score):
 def peer_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of peers at or below each site; null where a model has too few."""
     df = supplier_scores(spark, sf_dir)
+    counts = df.groupBy("model", "overall").agg(F.count("*").alias("n"))  # what a window runs over: a row a score
     own = Window.partitionBy("model")
-    pct = F.when(F.count("*").over(own) >= LEAST_PEERS, rounded(100.0 * F.cume_dist().over(own.orderBy("overall")), 2))
-    return df.select("site", "model", "overall", pct.alias("percentile"), level(F.col("overall")).alias("level"))
+    below = F.sum("n").over(own.orderBy("overall").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.sum("n").over(own)
+    pct = counts.select("model", "overall", F.when(total >= LEAST_PEERS, rounded(100.0 * (below / total), 2)).alias("percentile"))
+    return df.join(pct, ["model", "overall"]).select("site", "model", "overall", "percentile", level(F.col("overall")).alias("level"))
 
 
 def peer_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,11 +14,10 @@ def terms_of(text: Column) -> Column:
 
 def search(docs: DataFrame, terms: tuple[str, ...], k: int = 20) -> DataFrame:
     """Documents that hold all terms, ranked by how many of their words those are; a top-k report."""
-    words = terms_of(F.col("text"))
-    hits = F.size(F.filter(words, lambda w: w.isin(*terms)))
-    both = docs.where(F.col("text").isNotNull()).select("doc_id", F.size(words).alias("n_words"), hits.alias("hits"), *(F.array_contains(words, t).alias(f"has_{i}") for i, t in enumerate(terms)))
-    found = both.where(" and ".join(f"has_{i}" for i in range(len(terms))))
-    return found.select("doc_id", "n_words", "hits", (F.floor(F.col("hits") / F.col("n_words") * 10000 + 0.5) / 10000).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(k)
+    each = docs.where(F.col("text").isNotNull()).select("doc_id", terms_of(F.col("text")).alias("words"))  # split once
+    each = each.where(" and ".join(f"array_contains(words, '{t}')" for t in terms))
+    counted = each.select("doc_id", F.size("words").alias("n_words"), F.size(F.filter("words", lambda w: w.isin(*terms))).alias("hits"))
+    return counted.select("doc_id", "n_words", "hits", (F.floor(F.col("hits") / F.col("n_words") * 10000 + 0.5) / 10000).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(k)
 
 
 def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,9 +40,11 @@ def paragraph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct e-mail addresses of each document, the first five, and how many phone-like numbers of 7 to 15 digits it has."""
-    mails = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), 0)), 1, 5)
-    phones = F.filter(F.regexp_extract_all("text", F.lit(r"\+[0-9][0-9 ().-]{6,}[0-9]"), 0), lambda p: F.length(F.regexp_replace(p, "[^0-9]", "")).between(7, 15))
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array_join(mails, ",").alias("emails"), F.size(phones).alias("phones"))
+    none = F.array().cast("array<string>")  # only texts with the sign are searched
+    mails = F.slice(F.array_distinct(F.when(F.contains("text", F.lit("@")), F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), 0)).otherwise(none)), 1, 5)
+    found = F.when(F.contains("text", F.lit("+")), F.regexp_extract_all("text", F.lit(r"\+[0-9][0-9 ().-]{6,}[0-9]"), 0)).otherwise(none)
+    phones = F.filter(found, lambda p: F.length(F.regexp_replace(p, "[^0-9]", "")).between(7, 15))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("contains(text, '@') or contains(text, '+')").select("doc_id", F.array_join(mails, ",").alias("emails"), F.size(phones).alias("phones"))
     return rows.where("emails != '' or phones > 0")
 
 

@@ -99,12 +99,12 @@ def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_status_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and averages by status and by priority in one pass over grouping sets."""
-    rows = read(spark, sf_dir, "orders")
-    rows.createOrReplaceTempView("_orders_for_sets")
-    return spark.sql(
-        "SELECT coalesce(o_orderstatus, 'all') AS status, coalesce(o_orderpriority, 'all') AS priority, count(*) AS n, count_if(o_totalprice > 200000) AS large, cast(sum(cast(o_totalprice AS decimal(18,2))) AS double) AS total "
-        "FROM _orders_for_sets GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))"
+    rows, sets = read(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"]
+    all_of = lambda c, name: F.when(F.grouping(c) == 1, "all").otherwise(F.col(c)).alias(name)  # noqa: E731  a null of the data stays null
+    totals = rows.groupingSets([[c] for c in sets], *sets).agg(
+        all_of(sets[0], "status"), all_of(sets[1], "priority"), F.count("*").alias("n"), F.count_if(F.col("o_totalprice") > 200000).alias("large"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total")
     )
+    return totals.select("status", "priority", "n", "large", "total")
 
 
 def segment_pillars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +126,6 @@ ORACLES = {
     "repeat_insert": "WITH e AS (SELECT o_custkey, o_orderkey, o_orderdate < '1996-01-01' AS early, row_number() OVER (PARTITION BY o_custkey, o_orderdate < '1996-01-01' ORDER BY o_orderdate, o_orderkey) AS n FROM orders) SELECT o_custkey, o_orderkey FROM e WHERE n = 1 AND (early OR o_custkey NOT IN (SELECT o_custkey FROM e WHERE early))",
     "upsert_totals": "WITH s AS (SELECT o_custkey, o_orderdate >= '1997-01-01' AS late, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY 1, 2) SELECT o_custkey, total FROM s WHERE late OR o_custkey NOT IN (SELECT o_custkey FROM s WHERE late)",
     "user_turns": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role = 'user') SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, length(text) AS chars FROM r WHERE n <= 3",
-    "order_status_sets": "SELECT coalesce(o_orderstatus, 'all') AS status, coalesce(o_orderpriority, 'all') AS priority, count(*) AS n, count(*) FILTER (o_totalprice > 200000) AS large, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))",
+    "order_status_sets": "SELECT CASE WHEN grouping(o_orderstatus) = 1 THEN 'all' ELSE o_orderstatus END AS status, CASE WHEN grouping(o_orderpriority) = 1 THEN 'all' ELSE o_orderpriority END AS priority, count(*) AS n, count(*) FILTER (o_totalprice > 200000) AS large, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))",
     "segment_pillars": "WITH n AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1) SELECT c_mktsegment, n, row_number() OVER o AS rank, lag(c_mktsegment) OVER o AS before, floor(100.0 * n / sum(n) OVER () * 1000 + 0.5) / 1000 AS pct FROM n WINDOW o AS (ORDER BY n DESC, c_mktsegment)",
 }

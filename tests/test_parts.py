@@ -1,6 +1,7 @@
 """Small cases of operators, columns, sources and streams."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.columns import canonical_url, number, page_type, rounded, site_id, visible_text
@@ -84,3 +85,46 @@ def test_streams_equal_batches(spark, tmp_path):
     last = max(int(p.name) for p in (tmp_path / "out").iterdir())
     kept = {r.user_id: r.event_id for r in spark.read.parquet(str(tmp_path / "out" / str(last))).collect()}
     assert kept == {r.user_id: r.e for r in batch.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("e")).collect()}
+
+
+def test_admission_streams(spark, tmp_path):
+    batch = spark.read.parquet("/root/testdata/sf0.001/events.parquet").orderBy("ts", "event_id").withColumn("part", F.ntile(3).over(Window.partitionBy().orderBy("ts", "event_id")))
+    for k in range(1, 4):
+        batch.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / str(k)))
+    rows, credit, times, want, quota = batch.orderBy("ts", "event_id").collect(), {}, {}, {}, {}
+    for r in rows:
+        if r.event_type in ("purchase", "signup"):
+            credit[r.user_id] = credit.get(r.user_id, 0.0) + r.value
+        else:
+            want[r.event_id] = credit.get(r.user_id, 0.0) >= 10
+            credit[r.user_id] = credit.get(r.user_id, 0.0) - 10 * want[r.event_id]
+        own = times[r.user_id] = [t for t in times.get(r.user_id, []) if (r.ts - t).total_seconds() < 86400]
+        quota[r.event_id] = len(own) < 2
+        if quota[r.event_id]:
+            own.append(r.ts)
+
+    def accepted(name, admission):
+        done = {}
+        for k in range(1, 4):  # files arrive one after another
+            for f in (tmp_path / "in" / str(k)).glob("*.parquet"):
+                (tmp_path / name).mkdir(exist_ok=True)
+                (tmp_path / name / f"{k}.parquet").write_bytes(f.read_bytes())
+            query = admission(events.event_stream(spark, str(tmp_path / name))).writeStream.outputMode("append").foreachBatch(lambda d, _: done.update({r.event_id: r.accepted for r in d.collect()})).option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start()
+            query.awaitTermination()
+        return done
+
+    assert accepted("credit", events.credit_admission) == want and not all(want.values()) and any(want.values())
+    assert accepted("quota", lambda e: events.quota_admission(e, 2)) == quota and not all(quota.values())
+
+
+def test_late_rows_and_repeats(spark, tmp_path):
+    batch = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    batch.unionByName(batch).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = events.event_stream(spark, str(tmp_path / "in"))
+    for name, rows in (("once", events.once(stream)), ("counts", events.windowed_counts(stream, late="0 seconds"))):
+        query = rows.writeStream.outputMode("append").format("memory").queryName(name).start()
+        query.processAllAvailable()
+        query.stop()
+    assert spark.table("once").count() == batch.count()
+    n = {(r.window.start, r.user_id): r.n for r in spark.table("counts").collect()}
+    assert n and all(x % 2 == 0 for x in n.values())
