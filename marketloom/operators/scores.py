@@ -202,6 +202,35 @@ def research_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", F.posexplode(F.array(*made)).alias("place", "query"))
 
 
+# Add-ons that keep customers, and how their absence is written.
+ADD_ONS = ["OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport", "StreamingTV", "StreamingMovies"]
+ABSENT = ["No", "No internet service"]
+
+
+def retention_advice(rows: DataFrame, most: int = 8) -> DataFrame:
+    """rows(predicted_churn, the add-ons, Contract, PaperlessBilling) with advice: keys of what to do, the first ``most``."""
+    risk_first = F.when(F.col("predicted_churn"), "prioritize_retention").otherwise("prevent_and_upsell")
+    missing = [F.when(F.trim(F.col(c)).isin(*ABSENT), F.lit(f"offer:{c}")) for c in ADD_ONS]
+    contract = F.when(F.trim("Contract") == "Month-to-month", "longer_contract")
+    paper = F.when(F.trim("PaperlessBilling") == "No", "paperless_billing")
+    return rows.withColumn("advice", F.slice(F.array_compact(F.array(risk_first, *missing, contract, paper, F.lit("targeted_offer"), F.lit("review_tickets"))), 1, most))
+
+
+def completions(log: DataFrame, key: str, order: list[str], at: str) -> DataFrame:
+    """key, status, completed_at of the latest row of log(key, status, at, ...): when it last changed to done; null unless it still is."""
+    own = Window.partitionBy(key).orderBy(*order)
+    rows = log.select(key, "status", at, F.struct(*order).alias("o"), F.lag("status").over(own).alias("before"))
+    begun = F.max(F.when((F.col("status") == "done") & ~F.col("before").eqNullSafe("done"), F.col(at)))
+    latest = rows.groupBy(key).agg(F.max_by("status", "o").alias("status"), begun.alias("begun"))
+    return latest.select(key, "status", F.when(F.col("status") == "done", F.col("begun")).alias("completed_at"))
+
+
+def user_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as status changes, done by a purchase and open again by anything else."""
+    log = read(spark, sf_dir, "events").select("user_id", F.when(F.col("event_type") == "purchase", "done").otherwise("open").alias("status"), "ts", "event_id")
+    return completions(log, "user_id", ["ts", "event_id"], "ts").select("user_id", "status", F.unix_micros(F.col("completed_at").cast("timestamp")).alias("completed_us"))
+
+
 def _r(x: str, places: int = 0) -> str:
     return f"(floor(({x}) * {10**places} + 0.5) / {10**places})"
 
@@ -223,7 +252,7 @@ def _health() -> str:
     return f"{kpis}, b AS (SELECT *, ({bad}) / 6 AS p FROM k), h AS (SELECT c_nationkey, p, CAST(greatest(0, least(100, floor((1 - p) * 100 + 0.5) - ({less}))) AS DOUBLE) AS health FROM b) SELECT c_nationkey, {_r('p', 6)} AS p, p >= 0.5 AS will_lose, {_r('abs(p - 0.5) * 2', 6)} AS confidence, health, CASE WHEN health < 45 THEN 'critical' WHEN health < 65 THEN 'warning' ELSE 'healthy' END AS status FROM h"
 
 
-QUERIES = {f.__name__: f for f in (site_levels, site_blends, peer_examples, site_gaps, nation_health, batch_summary, label_metrics, regression_metrics, run_statistics, order_tiers, row_costs, research_queries)}
+QUERIES = {f.__name__: f for f in (site_levels, site_blends, peer_examples, site_gaps, nation_health, batch_summary, label_metrics, regression_metrics, run_statistics, order_tiers, row_costs, research_queries, user_completions)}
 ORACLES = {
     "site_levels": f"{_S}, h AS (SELECT site, model, kept, {_r('overall * 5 / 3 / 5', 1)} AS human FROM o), t AS (SELECT *, greatest(0.0, least(20.0, CASE WHEN floor(human) >= 17 THEN floor(human) ELSE floor(human) - 1 END)) AS target FROM h) SELECT site, model, human, CASE {_LEVEL} ELSE '{LAST_LEVEL}' END AS level, {_GAPS}, CAST(target AS DOUBLE) AS target, CAST(greatest(0.0, least(20.0, kept + greatest(-2.0, least(2.0, target - kept)))) AS DOUBLE) AS adjusted FROM t",
     "site_blends": f"{_S}, w AS (SELECT *, price >= 10 AS seen, price >= 10 AND (price * 5 >= 82 OR money * 5 >= 78) AS fine FROM o), m AS (SELECT *, kept * CASE WHEN fine THEN 0.62 WHEN seen THEN 0.52 ELSE 0.35 END + money * CASE WHEN fine THEN 0.38 WHEN seen THEN 0.48 ELSE 0.65 END AS mixed FROM w) SELECT site, CAST({_r('CASE WHEN money <= 2 THEN kept WHEN seen AND kept >= 15 THEN greatest(mixed, kept - 1) ELSE mixed END', 4)} AS DOUBLE) AS blend, CAST({_r('kept * 5 * (1 - 0.4 * price / 20) + money * 5 * 0.4 * price / 20', 2)} AS DOUBLE) AS trusted, CASE WHEN money / 10000 <= 0 THEN 70 WHEN money / 10000 < 0.0008 THEN 85 WHEN money / 10000 < 0.0015 THEN 70 WHEN money / 10000 < 0.0025 THEN 55 ELSE 35 END AS density FROM m",
@@ -235,6 +264,7 @@ ORACLES = {
     "regression_metrics": f"SELECT count(*) AS n, {_r('avg(abs(l_quantity * 1500 - l_extendedprice))', 2)} AS mae, {_r('sqrt(avg(power(l_quantity * 1500 - l_extendedprice, 2)))', 2)} AS rmse, {_r('1 - avg(power(l_quantity * 1500 - l_extendedprice, 2)) / var_pop(l_extendedprice)', 4)} AS r2 FROM lineitem",
     "run_statistics": f"WITH {_L}, s AS (SELECT CAST(y = CAST(n_chars >= 2000 AS INT) AS INT) AS hit, seed, md5(doc_id || ':' || seed) AS h FROM l, range(42, 62) t(seed)), a AS (SELECT seed, count(*) AS n, avg(hit) AS accuracy FROM s WHERE h[1:6] < '{int(0.2 * 16**6):06x}' GROUP BY 1) SELECT count(*) AS runs, CAST(sum(n) AS BIGINT) AS rows_scored, {_r('avg(accuracy)', 5)} AS mean, {_r('stddev_pop(accuracy)', 5)} AS std, {_r('min(accuracy)', 5)} AS least, {_r('max(accuracy)', 5)} AS most, CAST((SELECT seed FROM a ORDER BY accuracy DESC, seed LIMIT 1) AS INT) AS best_seed FROM a",
     "order_tiers": "WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS position FROM orders) SELECT *, CASE WHEN position <= 3 THEN 'primary' ELSE 'secondary' END AS tier, CASE WHEN position = 1 THEN 'high' WHEN position <= 3 THEN 'medium' ELSE 'low' END AS priority FROM r WHERE position <= 5",
+    "user_completions": "WITH l AS (SELECT user_id, ts, event_id, event_type = 'purchase' AS done, lag(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events), g AS (SELECT user_id, last(done ORDER BY ts, event_id) AS done, max(ts) FILTER (done AND NOT coalesce(before, false)) AS begun FROM l GROUP BY 1) SELECT user_id, CASE WHEN done THEN 'done' ELSE 'open' END AS status, CASE WHEN done THEN epoch_us(begun) END AS completed_us FROM g",
     "row_costs": "SELECT o_custkey, CAST(10 + 0.5 * count(*) AS DOUBLE) AS cost FROM orders GROUP BY 1",
     "research_queries": "WITH q AS (SELECT c_custkey, [c_name || ' competitors ' || lower(c_mktsegment), 'products customer reviews', 'products ' || lower(c_mktsegment) || ' trends', 'customers buying behavior products', 'successful ' || lower(c_mktsegment) || ' brands products', c_name || ' brand mentions'] AS q FROM customer) SELECT c_custkey, CAST(generate_subscripts(q, 1) - 1 AS INT) AS place, unnest(q) AS query FROM q",
 }

@@ -63,3 +63,27 @@ def test_score_helpers(spark):
     assert [value(scores.truth(F.lit(x))) for x in ("true", "0", "no", "", None)] == [True, False, True, False, False]
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "x int, y string")
     assert scores.matching(rows, x=None, y="b").count() == 1 and scores.matching(rows, x=None, y=None).count() == 2
+
+
+def test_reports(spark, tmp_path):
+    import json
+
+    from marketloom.operators.association import category_breakdown, contingency, feature_summary
+    from marketloom.sources.files import read_csv
+    from marketloom.sources.reports import write_association_report, write_batch_results
+
+    rows = spark.createDataFrame([("a", "x", 0), ("a", "y", 1), ("b", "x", 1), ("b", "y,z", 0)] * 5, "f string, g string, t int")
+    table = contingency(rows, ["f", "g"], "t")
+    write_association_report(rows.groupBy("t").count(), feature_summary(table), category_breakdown(table), str(tmp_path / "r"))
+    assert {r.category for r in read_csv(spark, str(tmp_path / "r" / "categories"), ["feature_name", "category"]).collect()} == {"a", "b", "x", "y", "y,z"}
+    nested = [json.loads(line) for p in (tmp_path / "r" / "features").glob("part-*") for line in p.read_text().splitlines()]
+    assert {x["feature_name"]: [c["category"] for c in x["categories"]] for x in nested} == {"f": ["a", "b"], "g": ["x", "y", "y,z"]}
+    write_batch_results(rows, ["f", "g"], str(tmp_path / "b"))
+    assert {r.g: int(r.n) for r in read_csv(spark, str(tmp_path / "b" / "by_g"), ["g", "n"]).collect()} == {"x": 10, "y": 5, "y,z": 5}
+
+
+def test_retention_advice(spark):
+    columns = [*scores.ADD_ONS, "Contract", "PaperlessBilling"]
+    rows = spark.createDataFrame([(True, *["No"] * 6, "Month-to-month", "No"), (False, *["Yes"] * 5, None, "Two year", "Yes")], "predicted_churn boolean, " + ", ".join(f"{c} string" for c in columns))
+    first, second = (r.advice for r in scores.retention_advice(rows).collect())
+    assert first == ["prioritize_retention", *(f"offer:{c}" for c in scores.ADD_ONS), "longer_contract"] and second == ["prevent_and_upsell", "targeted_offer", "review_tickets"]
