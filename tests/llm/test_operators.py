@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
@@ -226,9 +227,28 @@ def test_op6_order_and_likeness(spark):
     assert np.mean([r.near_edited for r in rows]) > 0.5 > 0.1 > np.mean([r.near_next for r in rows])
 
 
-def test_op7_packing(spark):
-    from pyspark.sql import functions as F
+def merkle(text):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    sections = [[]]
+    for line in text.split("\n"):
+        leaves = [sha(x) for x in re.split(r"(?<=[.,;:!?|#$%&*])[ \t\n\x0b\f\r]+", line)]
+        node = sha("".join(leaves))
+        sections[-1].append((node, ",".join(x[:6] for x in leaves)))
+        if node[0] < "2":
+            sections.append([])
+    if not sections[-1]:
+        sections.pop()
+    nodes = [sha("".join(n for n, _ in s)) for s in sections]
+    return sha("".join(nodes)) + ":" + "/".join(n[:16] + "=" + ";".join(x for _, x in s) for n, s in zip(nodes, sections))
+
+
+def test_op6_against_a_plain_tree(spark):
+    some = {r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()} | {t or "" for _, t in EDGES} | {"a. b\n\nc; d", "\n", "x.\n y"}
+    for r in spark.createDataFrame([(t,) for t in some], "text string").select("text", fingerprints.fingerprint(F.col("text")).alias("f")).collect():
+        assert r.f == merkle(r.text)
 
+
+def test_op7_packing(spark):
     rows = packing.op7_best_fit_packing(spark, SF)
     by = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("p")).collect()
     for s in by:
