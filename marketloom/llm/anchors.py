@@ -96,13 +96,15 @@ def packets(docs: DataFrame, units, width: int, k: int, shards: int) -> DataFram
     return map_batches(docs, run, "shard int, " + ", ".join(f"{x} binary" for x in fields))
 
 
-def settle(sent: DataFrame, shards: int, decide) -> DataFrame:
+def settle(sent: DataFrame, shards: int, decide, first: bool = False) -> DataFrame:
     """Rows doc, low, high, h and open: pieces that recur (open false) and pieces to compare by windows (open true).
 
     decide(doc, kind, kind_first, kind_count, group_kinds, group_docs) gives the masks of recurring and open pieces; all arrays
     are by piece, sorted by anchor, content, document and place. It is given the packets' ``of`` as doc, if they have that.
+    With first, also first_doc and first_low: the first piece of the same content.
     """
     fields = FIELDS | (OF if "of" in sent.columns else {})
+    schema = "doc long, low int, high int, h long, open boolean" + (", first_doc long, first_low int" if first else "")
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
@@ -129,9 +131,11 @@ def settle(sent: DataFrame, shards: int, decide) -> DataFrame:
             some = np.flatnonzero(mask)
             for a in range(0, len(some), 50_000):
                 i = some[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(low[i]), pa.array(high[i]), pa.array(h[i].astype(np.int64)), pa.array(np.full(len(i), flag))], ["doc", "low", "high", "h", "open"])
+                like = at[kind[i]]
+                columns = {"doc": doc[i], "low": low[i], "high": high[i], "h": h[i].astype(np.int64), "open": np.full(len(i), flag)} | ({"first_doc": doc[like], "first_low": low[like]} if first else {})
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
 
-    return map_batches(sent.repartition(shards, "shard"), run, "doc long, low int, high int, h long, open boolean")
+    return map_batches(sent.repartition(shards, "shard"), run, schema)
 
 
 def by_document(spans: DataFrame, name: str) -> DataFrame:

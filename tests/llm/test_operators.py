@@ -197,6 +197,24 @@ def test_op5_and_op8_against_all_windows(spark, tmp_path):
     assert {r[0]: tuple(r)[1:] for r in phrases.op8_phrase_automata(spark, sf).collect()} == brute.phrases(docs, 35)
 
 
+def test_op8_automata_alone_locate_phrases():
+    """A text that took no part in confirming phrases is searched too; automata of few words find the same."""
+    rng = np.random.default_rng(8)
+    passage = [b"w%d" % x for x in rng.integers(0, 9, 60)]
+    phrases_ = [b" ".join(passage[a:b]) for a, b in ((0, 36), (5, 40), (3, 38), (20, 60), (20, 60))]
+    text = [b"z", *passage, b"z", *passage[2:39], b"w1"]
+    want = np.zeros(len(text), bool)
+    for p in {tuple(x.split()) for x in phrases_}:
+        for a in range(len(text) - len(p) + 1):
+            if tuple(text[a : a + len(p)]) == p:
+                want[a : a + len(p)] = True
+    for most in (1, 80, 1 << 19):
+        [(own, hit), (none, no_hit)] = phrases.located([b"\t ".join(text), b""], phrases_, most)
+        assert own == text and hit.tolist() == want.tolist() and none == [] and no_hit.tolist() == []
+    assert want.any() and not want.all()
+    assert [hit.any() for _, hit in phrases.located([b" ".join(text)], [])] == [False]
+
+
 def test_op5_rows_that_share_a_doc_id(spark, tmp_path):
     """Each row has its own spans; rows of one doc_id take nothing from each other, and one repeated row stays as it is."""
     some = texts(40, 12)
