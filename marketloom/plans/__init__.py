@@ -1,7 +1,7 @@
 """All queries of the library with the SQL that gives the same rows."""
 
-from marketloom.operators import association, evidence, extraction, health, peers, scores, search, sites, tables
+from marketloom.operators import association, evidence, extraction, health, models, peers, scores, search, sites, tables
 
-MODULES = [association, tables, sites, peers, health, search, extraction, scores, evidence]
+MODULES = [association, tables, sites, peers, health, search, extraction, scores, evidence, models]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
