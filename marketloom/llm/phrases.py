@@ -25,8 +25,10 @@ from marketloom.llm.anchors import SHARD_ANCHORS, packets, settle
 from marketloom.llm.common import SPACED, map_batches, raw, release, repeat_rows, row_starts, signed, staged, steps, told_apart, window_hashes, words
 
 WINDOW, GRAM = 35, 8
-#: Bytes of documents in a slice and in a partition of them, and words of phrases that one automaton holds.
-SLICE_BYTES, PART_BYTES, AUTOMATON_WORDS = 2 << 20, 32 << 20, 1 << 19
+#: Bytes of documents in a slice, and words of phrases that one automaton holds.
+SLICE_BYTES, AUTOMATON_WORDS = 2 << 20, 1 << 19
+#: Bytes of documents in a partition of slices, up to so many partitions: beyond, they hold more slices, still one at a time.
+PART_BYTES, MOST_PARTS = 12 << 20, 1 << 17
 
 
 def word_units(batches):
@@ -141,7 +143,7 @@ def phrase_table(docs: DataFrame, total: int, slice_of, window: int, gram: int)
 
 
 def parts_of(total: int) -> int:
-    return max(8, total // PART_BYTES)
+    return min(max(8, total // PART_BYTES), MOST_PARTS)
 
 
 def remove_phrases(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
