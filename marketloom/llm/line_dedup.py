@@ -22,11 +22,15 @@ from marketloom.llm.common import numbered, told_apart
 MIN_CHARS, MIN_DOCS = 40, 5
 
 
-def line_key(line: Column) -> Column:
-    """The line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z (no other letters) lower-cased."""
-    bare = F.trim(line, F.lit(" \t\n\x0b\x0c\r"))
-    plain = F.octet_length(bare) == F.length(bare)
-    return F.when(plain, F.lower(bare)).otherwise(F.translate(bare, string.ascii_uppercase, string.ascii_lowercase))
+def bare(line: Column) -> Column:
+    """The line without ``[\\x20\\x09-\\x0D]`` at both ends."""
+    blank = F.lit(" \t\n\x0b\x0c\r")
+    return F.ltrim(F.rtrim(line, blank), blank)
+
+
+def lower(text: Column) -> Column:
+    """A-Z, no other letters, lower-cased: ``translate`` is much slower than ``lower``, which is the same for ASCII alone."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def common_keys(lines: DataFrame, min_docs: int) -> DataFrame:
@@ -39,8 +43,10 @@ def drop_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     """doc (the row as it came), kept (its text without common lines), n_lines (before) and n_dropped."""
     rows = numbered(docs, told_apart(docs))
     parts = F.split(F.coalesce(F.col("doc.text"), F.lit("")), "\n")
-    lines = rows.select("row_id", F.col("doc.doc_id").cast("long").alias("doc_id"), F.posexplode(parts).alias("place", "line"))
-    lines = lines.select("row_id", "doc_id", "place", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    lines = rows.select("row_id", F.col("doc.doc_id").cast("long").alias("doc_id"), parts.alias("lines"))
+    lines = lines.select("row_id", "doc_id", F.posexplode("lines").alias("place", "line"))  # no row of a line holds the text
+    lines = lines.where(F.length(bare(F.col("line"))) >= min_chars).select("row_id", "doc_id", "place", bare(F.col("line")).alias("key"))
+    lines = lines.select("row_id", "doc_id", "place", lower(F.col("key")).alias("key"))
     lines = lines.select("row_id", "doc_id", "place", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("h2"))
     dropped = lines.join(common_keys(lines, min_docs), ["h", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("stays")))
     dropped = dropped.groupBy("row_id").agg(F.collect_list("place").alias("dropped"))
