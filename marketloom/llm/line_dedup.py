@@ -17,7 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import numbered, told_apart
+from marketloom.llm.common import numbered, staged, told_apart
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -48,7 +48,8 @@ def drop_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     lines = lines.where(F.length(bare(F.col("line"))) >= min_chars).select("row_id", "doc_id", "place", bare(F.col("line")).alias("key"))
     lines = lines.select("row_id", "doc_id", "place", lower(F.col("key")).alias("key"))
     lines = lines.select("row_id", "doc_id", "place", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("h2"))
-    dropped = lines.join(common_keys(lines, min_docs), ["h", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("stays")))
+    common = staged(common_keys(lines, min_docs), "common-lines")  # a scan, so that Spark splits the join where a line is very common
+    dropped = lines.join(common, ["h", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("stays")))
     dropped = dropped.groupBy("row_id").agg(F.collect_list("place").alias("dropped"))
     all_ = rows.join(dropped, "row_id", "left").select("doc", "dropped", parts.alias("lines"))
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
