@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import decontamination, fingerprints, language, line_dedup, near_duplicates, packing, phrases, pii, substrings, token_files, toxicity
+from marketloom.llm import collocations, conversations, decontamination, fingerprints, language, line_dedup, near_duplicates, packing, phrases, pii, substrings, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
@@ -19,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fm_decontamination": decontamination.op9_fm_decontamination,
     "op10_pii_spans": pii.op10_pii_spans,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op11_hirschberg_repair": conversations.op11_hirschberg_repair,
+    "op12_collocations": collocations.op12_collocations,
     "op13_line_dedup": line_dedup.op13_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op13_line_dedup": line_dedup.OP13_SQL}
+ORACLES: dict[str, str] = {"op12_collocations": collocations.OP12_SQL, "op13_line_dedup": line_dedup.OP13_SQL}
