@@ -33,7 +33,7 @@ WORD = word_bytes([*ASCII_SPACE, *PIECE_ENDS])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Text that one task combines at once; places a shard is meant to hold; rows below which a part is sorted at once.
-COMBINE_BYTES, SHARD_PLACES, SMALL = 4 << 20, 1 << 20, 2048
+COMBINE_BYTES, SHARD_PLACES, SMALL = 2 << 20, 1 << 20, 2048
 #: Bits of a table of marks at most (16 MB), and for each marked phrase.
 MOST_BITS, BITS_EACH = 1 << 27, 16
 #: A pair with more than this share of all places is dealt by its other words too: so there are fewer than that many.
@@ -74,7 +74,7 @@ class Text:
         self.seed = seeds(self.langs)[self.lang]
         ends = np.zeros(256, bool)
         ends[list(PIECE_ENDS)] = True
-        piece = np.cumsum(ends[data])[self.start] if len(data) else np.zeros(0, np.int64)
+        piece = np.cumsum(ends[data], dtype=np.int32)[self.start] if len(data) else np.zeros(0, np.int64)
         self.joint = np.zeros(len(self.h), bool)
         self.joint[:-1] = (row[1:] == row[:-1]) & (piece[1:] == piece[:-1])
 
