@@ -1,16 +1,29 @@
-"""Tables that a job reads again: cut off from what made them."""
+"""Tables that a job reads again: cut off from what made them, in a folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of this machine where it is unset, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` written below spark.checkpoint.dir, which all executors share, and read from there: computed once, whole after lost executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """``df`` checkpointed: computed once, and whole after lost executors."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))  # the latter in tests on one machine
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

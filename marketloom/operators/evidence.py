@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.columns import site_id, url_path, visible_text
+from marketloom.functions.work import kept
 from marketloom.operators.extraction import calls_to_action, platform
 from marketloom.operators.sites import _PROFILE, _VIS, _oracle, page_signals, signals_of, site_profile, site_scores
 
@@ -29,26 +30,45 @@ PROBLEMS = [("trust", 0, "page without https", "NOT https"), ("content", 1, "pag
 RULES = [("secure_pages", 0, "trust", "https"), ("name_pages", 1, "content", "title|heading"), ("fill_pages", 2, "content", "text"), ("light_pages", 3, "technical", "script")]
 
 
+#: Where a node of JSON-LD has further nodes; item: those of a list, whose entries may wrap them.
+LD_CHILDREN = {"@graph": "", "itemListElement": "item", "hasVariant": "variant", "variesBy": "variant"}
+
+
+def as_list(v: Column) -> Column:
+    """A variant's elements if it is a list, else itself alone."""
+    return F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
+
+
+def children(v: Column, name: str, to: str) -> Column:
+    """v and listed: the nodes below by that name, a list's or the one; none if there is none."""
+    inner = F.try_variant_get(v, f"$['{name}']", "variant")
+    nodes = F.when(inner.isNull(), F.array().cast("array<variant>")).otherwise(as_list(inner))
+
+    def entry(x: Column) -> Column:
+        node = F.coalesce(F.try_variant_get(x, "$.item", "variant"), x) if to == "item" else x
+        return F.struct(node.alias("v"), F.lit(bool(to)).alias("listed"))
+
+    return F.transform(nodes, entry)
+
+
 def structured_products(pages: DataFrame) -> DataFrame:
     """page_id, name, price, image, confidence: products of JSON-LD blocks, one row a normalized name of a page, of its highest confidence.
 
-    Blocks that are no JSON are skipped; graphs and list items are entered to a depth of three; a price is the first offer's price, low or high price.
+    Blocks that are no JSON are skipped; graphs, list items and variants are entered to any depth; a price is the first offer's price, low or high price.
     """
     get = F.try_variant_get
-    none = F.array().cast("array<variant>")
     blocks = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1))
     nodes = pages.select("page_id", blocks.alias("raw")).select("page_id", F.try_parse_json("raw").alias("v")).where("v is not null")
-    whole = F.when(F.schema_of_variant("v").startswith("ARRAY"), get("v", "$", "array<variant>")).otherwise(F.array("v"))
-    nodes = nodes.select("page_id", F.explode(whole).alias("v"), F.lit(False).alias("listed"))
-    level, found = nodes, nodes
-    for _ in range(3):
-        inner = F.concat(
-            F.transform(F.coalesce(get("v", "$['@graph']", "array<variant>"), none), lambda x: F.struct(x.alias("v"), F.lit(False).alias("listed"))),
-            F.transform(F.coalesce(get("v", "$.itemListElement", "array<variant>"), none), lambda x: F.struct(F.coalesce(get(x, "$.item", "variant"), x).alias("v"), F.lit(True).alias("listed"))),
-            F.transform(F.coalesce(get("v", "$.hasVariant", "array<variant>"), none), lambda x: F.struct(x.alias("v"), F.lit(True).alias("listed"))),
-        )
-        level = level.select("page_id", F.explode(inner).alias("x")).select("page_id", "x.v", "x.listed")
-        found = found.unionByName(level)
+    nodes = nodes.select("page_id", F.explode(as_list(F.col("v"))).alias("v"), F.lit(False).alias("listed"))
+    level = kept(nodes)
+    levels = [level]
+    while True:  # a round a depth; each reads only what the one before found
+        inner = F.concat(*(children(F.col("v"), name, to) for name, to in LD_CHILDREN.items()))
+        level = kept(level.select("page_id", F.explode(inner).alias("x")).select("page_id", "x.v", "x.listed"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    found = reduce(DataFrame.unionByName, levels)
     kind, text = get("v", "$['@type']", "string"), lambda *paths: F.coalesce(*(get("v", p, "string") for p in paths))
     sure = F.when(F.col("listed"), F.lit(LISTED))
     for name, points in PRODUCT_KINDS.items():

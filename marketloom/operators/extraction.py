@@ -161,6 +161,10 @@ h AS (SELECT DISTINCT {canon_u} AS canon FROM pages), g AS (SELECT site_id, cano
 i AS (SELECT site_id, target, pages, target IN (SELECT canon FROM h) AS held FROM g)"""
 
 
+#: Chunks as c(doc_id, content, chunk_index).
+CHUNK_SQL = r"WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: x != '') AS words FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, list_reduce(list_transform(words, lambda x: {'n': length(x), 'chunk': 0, 'out': x}), lambda a, x: {'n': CASE WHEN a.n >= 500 THEN x.n ELSE a.n + 1 + x.n END, 'chunk': 0, 'out': a.out || CASE WHEN a.n >= 500 THEN chr(10) ELSE ' ' END || x.out}).out AS joined FROM w WHERE len(words) > 0), c AS (SELECT doc_id, unnest(string_split(joined, chr(10))) AS content, generate_subscripts(string_split(joined, chr(10)), 1) - 1 AS chunk_index FROM r)"
+
+
 def _canonical(u: str) -> str:
     path = f"regexp_extract({u}, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1)"
     return f"regexp_extract({u}, '^([a-zA-Z]+://[^/?#]+)', 1) || CASE WHEN {path} = '' THEN '/' WHEN length({path}) > 1 THEN regexp_replace({path}, '/$', '') ELSE {path} END"
@@ -178,13 +182,12 @@ def _oracles() -> dict[str, str]:
     meta = """CASE WHEN regexp_extract(html, '<meta[^>]+(?:name|property)="description"[^>]*content="([^"]*)"', 1, 'i') != '' THEN regexp_extract(html, '<meta[^>]+(?:name|property)="description"[^>]*content="([^"]*)"', 1, 'i') ELSE regexp_extract(html, '<meta[^>]+content="([^"]*)"[^>]*(?:name|property)="description"', 1, 'i') END"""
     kinds = " ".join(f"WHEN regexp_matches(lower(html), '{p}') THEN '{n}'" for n, p in PLATFORMS)
     policies = ", ".join(f"regexp_matches(txt, '{p}', 'i') OR regexp_matches(links, '{p}', 'i') AS {k}" for k, p in POLICIES.items())
-    words = r"WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: x != '') AS words FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, list_reduce(list_transform(words, lambda x: {'n': length(x), 'chunk': 0, 'out': x}), lambda a, x: {'n': CASE WHEN a.n >= 500 THEN x.n ELSE a.n + 1 + x.n END, 'chunk': 0, 'out': a.out || CASE WHEN a.n >= 500 THEN chr(10) ELSE ' ' END || x.out}).out AS joined FROM w WHERE len(words) > 0), c AS (SELECT doc_id, unnest(string_split(joined, chr(10))) AS content, generate_subscripts(string_split(joined, chr(10)), 1) - 1 AS chunk_index FROM r)"
     return {
         "page_offers": f"WITH a AS (SELECT page_id, {_VIS.format('html')} AS txt, CASE {kinds} ELSE 'unknown' END AS platform, {meta} AS description, {labels('h1|h2|h3')} AS h, list_filter({labels('a|button')}, lambda x: length(x) <= 40 AND regexp_matches(x, '{ACTION}', 'i')) AS b, array_to_string(regexp_extract_all(html, '<a[^>]+href=\"([^\"#]+)', 1, 'i'), ' ') AS links FROM pages), p AS (SELECT *, list_slice(regexp_extract_all(txt, '{PRICE}', 0, 'i'), 1, 20) AS q FROM a) SELECT page_id, platform, description, CAST(len(list_slice({first('h')}, 1, 6)) AS INT) AS n_headings, array_to_string(list_slice({first('h')}, 1, 6), '|') AS headings, array_to_string(list_slice({first('b')}, 1, 15), '|') AS actions, array_to_string({first('q')}, '|') AS prices, {policies} FROM p",
         "internal_links": links + " SELECT * FROM i",
         "next_wave": links + f", f AS (SELECT *, CASE {rank} ELSE 50 END AS priority FROM i WHERE NOT held AND NOT regexp_matches(lower({path}), '{BLOCKED}')), o AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY priority, pages DESC, target) AS position FROM f) SELECT site_id, target, priority, pages, position FROM o WHERE position <= 10",
-        "document_chunks": words + " SELECT doc_id, count(*) AS n_chunks, CAST(min(length(content)) AS INT) AS shortest, CAST(max(length(content)) AS INT) AS longest FROM c GROUP BY 1",
-        "chunk_search": words + ", k AS (SELECT doc_id, chunk_index, string_split(lower(content), ' ') AS words FROM c), s AS (SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, CAST(len(list_filter(words, lambda x: x IN ('the', 'and', 'with'))) AS INT) AS hits, CAST(len(words) AS INT) AS n_words FROM k WHERE list_contains(words, 'the') AND list_contains(words, 'and') AND list_contains(words, 'with')) SELECT s.*, source FROM (SELECT * FROM s ORDER BY hits DESC, doc_id, chunk_index LIMIT 10) s JOIN documents USING (doc_id)",
+        "document_chunks": CHUNK_SQL + " SELECT doc_id, count(*) AS n_chunks, CAST(min(length(content)) AS INT) AS shortest, CAST(max(length(content)) AS INT) AS longest FROM c GROUP BY 1",
+        "chunk_search": CHUNK_SQL + ", k AS (SELECT doc_id, chunk_index, string_split(lower(content), ' ') AS words FROM c), s AS (SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, CAST(len(list_filter(words, lambda x: x IN ('the', 'and', 'with'))) AS INT) AS hits, CAST(len(words) AS INT) AS n_words FROM k WHERE list_contains(words, 'the') AND list_contains(words, 'and') AND list_contains(words, 'with')) SELECT s.*, source FROM (SELECT * FROM s ORDER BY hits DESC, doc_id, chunk_index LIMIT 10) s JOIN documents USING (doc_id)",
     }
 
 

@@ -56,3 +56,13 @@ def test_chat_facts(spark):
     rows = [(1, 0, "My GOAL: sell more cups\nnext"), (1, 1, "we post on Instagram and facebook; customers include: young cooks"), (2, 0, "facebook only"), (2, 1, None), (2, 2, "Competitor: Pan Ltd")]
     got = sorted(tuple(r) for r in evidence.chat_facts(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect())
     assert got == [(1, 0, "goal", "primary_goal", "sell more cups"), (1, 1, "audience", "target_audience", "young cooks"), (1, 1, "platform", "platforms", "Instagram,Facebook"), (2, 2, "competitor", "mentioned_competitor", "Pan Ltd")]
+
+
+def test_structured_products_of_any_depth(spark):
+    node = {"@type": "Product", "name": "Deep lamp", "offers": {"price": 3}}
+    for k in range(8):
+        node = {"@graph": [node]} if k % 2 else {"@type": "ItemList", "itemListElement": [{"item": node}, {"item": {"@type": "Product", "name": f"Side {k}", "offers": [{"lowPrice": k}]}}]}
+    group = {"@type": "ProductGroup", "name": "Set", "hasVariant": {"@type": "Product", "name": "One of it", "image": {"url": "/i.png"}}}
+    pages = spark.createDataFrame([(1, ld(node)), (2, ld(group) + ld("{broken")), (3, None), (4, ld([]))], "page_id long, html string")
+    rows = {(r.page_id, r.name): (r.price, r.confidence) for r in evidence.structured_products(pages).collect()}
+    assert rows == {(1, "Deep lamp"): ("3", 80), **{(1, f"Side {k}"): (str(k), 80) for k in (0, 2, 4, 6)}, (2, "Set"): (None, 88), (2, "One of it"): (None, 80)}
