@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions.columns import rounded
+from marketloom.operators.running import running_before
 
 # A KPI is unhealthy below or above its bound.
 BOUNDS = [("conversion_rate", "<", 1.5), ("repeat_customer_rate", "<", 22.0), ("ad_spend_to_revenue_pct", ">", 30.0), ("avg_delivery_days", ">", 6.0), ("refund_rate", ">", 5.0), ("monthly_sessions", "<", 10000.0)]
@@ -46,13 +47,10 @@ def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def binary_metrics(rows: DataFrame) -> DataFrame:
     """Accuracy, precision, recall, Brier score and exact AUC (ties count half).
 
-    AUC sums over distinct scores: the running count of negatives comes from a window over a table with a row a score.
+    AUC sums over distinct scores, a row each; the running count of negatives comes from ranges of scores.
     """
-    from pyspark.sql import Window
-
     by_score = rows.groupBy("p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    before = F.coalesce(F.sum("neg").over(Window.partitionBy().orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    auc = by_score.withColumn("before", before).agg((F.sum(F.col("pos") * (F.col("before") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    auc = running_before(by_score, "p", "neg").agg((F.sum(F.col("pos") * (F.col("before") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
     hit = F.col("p") >= 0.5
     tp, fp, fn = F.count_if(hit & (F.col("y") == 1)), F.count_if(hit & (F.col("y") == 0)), F.count_if(~hit & (F.col("y") == 1))
     n = F.count("*")

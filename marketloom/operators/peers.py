@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.columns import rounded
+from marketloom.operators.running import running_before
 from marketloom.operators.tables import recent
 
 LEAST_PEERS = 3
@@ -30,11 +31,10 @@ def level(score):
 def peer_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of peers at or below each site; null where a model has too few."""
     df = supplier_scores(spark, sf_dir)
-    counts = df.groupBy("model", "overall").agg(F.count("*").alias("n"))  # what a window runs over: a row a score
-    own = Window.partitionBy("model")
-    below = F.sum("n").over(own.orderBy("overall").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum("n").over(own)
-    pct = counts.select("model", "overall", F.when(total >= LEAST_PEERS, rounded(100.0 * (below / total), 2)).alias("percentile"))
+    counts = df.groupBy("model", "overall").agg(F.count("*").alias("n"))
+    total = counts.groupBy("model").agg(F.sum("n").alias("total"))
+    below = F.col("before") + F.col("n")
+    pct = running_before(counts, "overall", "n", ("model",)).join(total, "model").select("model", "overall", F.when(F.col("total") >= LEAST_PEERS, rounded(100.0 * (below / F.col("total")), 2)).alias("percentile"))
     return df.join(pct, ["model", "overall"]).select("site", "model", "overall", "percentile", level(F.col("overall")).alias("level"))
 
 
