@@ -116,26 +116,27 @@ def next_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recent(links, ["site_id"], [F.col("priority"), F.col("pages").desc(), F.col("target")], 10).select("site_id", "target", "priority", "pages", "position")
 
 
-def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
-    """doc_id, chunk_index, content: the words of a text, gathered until a chunk has ``size`` characters; null and blank texts have none."""
+def chunks(docs: DataFrame, size: int = CHUNK, key: str = "doc_id") -> DataFrame:
+    """key, chunk_index, content: the words of a text, gathered until a chunk has ``size`` characters; null and blank texts have none."""
+    kind = "bigint" if key == "doc_id" else docs.schema[key].dataType.simpleString()
+    plain = F.trim(F.regexp_replace("text", r"\s+", " "))
+    docs = docs.select(F.col(key).cast(kind).alias(key), plain.alias("text")).where("text != ''")
 
     def run(batches):
         for b in batches:
-            out: list[tuple[int, int, str]] = []
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                own, n, place = [], -1, 0
-                for word in filter(None, (text or "").split(" ")):
-                    own.append(word)
-                    n += len(word) + 1
-                    if n >= size:
-                        out.append((i, place, " ".join(own)))
-                        own, n, place = [], -1, place + 1
-                if own:
-                    out.append((i, place, " ".join(own)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.string()))], ["doc_id", "chunk_index", "content"])
-
-    plain = F.trim(F.regexp_replace("text", r"\s+", " "))
-    return docs.select(F.col("doc_id").cast("long"), plain.alias("text")).mapInArrow(run, "doc_id long, chunk_index int, content string")
+            whose, places, contents = [], [], []
+            for row, text in enumerate(b.column("text").to_pylist()):
+                at, place = 0, 0
+                while at < len(text):  # a step a chunk: it ends with the word in which it reaches its size
+                    end = text.find(" ", at + size)
+                    end = len(text) if end < 0 else end
+                    whose.append(row)
+                    places.append(place)
+                    contents.append(text[at:end])
+                    at, place = end + 1, place + 1
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(whose, pa.int64())), pa.array(places, pa.int32()), pa.array(contents, pa.string())], [key, "chunk_index", "content"])
+
+    return docs.mapInArrow(run, f"{key} {kind}, chunk_index int, content string")
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

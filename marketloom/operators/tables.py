@@ -30,8 +30,9 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def insert_missing(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """old and the first row of each key of new that old lacks."""
-    return old.unionByName(new.dropDuplicates(key).join(old.select(*key), key, "left_anti"))
+    """old and one row of each key of new that old lacks: the least by all its columns."""
+    first = latest(new, key, [F.col(c).asc_nulls_last() for c in new.columns])
+    return old.unionByName(first.join(old.select(*key), key, "left_anti"))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
