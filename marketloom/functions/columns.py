@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once: later uses refer to them, where a plain new column is written out again in each use."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def rounded(x: Column, places: int = 0) -> Column:
     """Half-up rounding, as scores are rounded everywhere here."""
     scale = 10**places
@@ -77,22 +82,36 @@ PAGE_TYPES = [
 BLOCKED = r"/logout\b|/cart\b|/checkout\b|/account\b|/admin\b|/wp-admin\b|/my-account\b|/signin\b|/sign-in\b|/login\b|/tracking\b|/track\b|/pixel\b|/collect\b|/beacon\b|/gtm\b|/analytics\b"
 
 
-def page_type(url: Column) -> Column:
-    path = F.lower(url_path(url))
+def page_type(url: Column, path: Column | None = None) -> Column:
+    """The first type whose pattern the path (of the url, if not given) has."""
+    path = F.lower(url_path(url) if path is None else path)
     out = F.when(url_host(url) == "", F.lit("unknown"))
     for name, pattern in PAGE_TYPES:
         out = out.when(path.rlike(pattern), F.lit(name))
     return out.otherwise("page")
 
 
-def url_priority(url: Column) -> Column:
+def url_priority(url: Column, path: Column | None = None) -> Column:
     """Place of the page type, 50 for all others; the type is tested once."""
     places = F.create_map(*(F.lit(x) for k, (name, _) in enumerate(PAGE_TYPES) for x in (name, k)))
-    return F.coalesce(F.element_at(places, page_type(url)), F.lit(50))
+    return F.coalesce(F.element_at(places, page_type(url, path)), F.lit(50))
+
+
+def blocked(url: Column, path: Column | None = None) -> Column:
+    return F.lower(url_path(url) if path is None else path).rlike(BLOCKED)
+
+
+def folded_dots(url: Column) -> Column:
+    """An absolute URL whose path has no `.` and `..` segments."""
+    root, path, rest = (F.regexp_extract(url, r"^([a-zA-Z]+://[^/?#]+)([^?#]*)(.*)$", k) for k in (1, 2, 3))
 
+    def step(kept: Column, part: Column) -> Column:
+        return F.when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
 
-def blocked(url: Column) -> Column:
-    return F.lower(url_path(url)).rlike(BLOCKED)
+    parts = F.split(path, "/")
+    open_end = F.element_at(parts, -1).isin(".", "..")
+    folded = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(path.rlike(r"/\.{1,2}(?:/|$)"), F.concat(root, folded, F.when(open_end, "/").otherwise(""), rest)).otherwise(url)
 
 
 def strength(count: Column, weak: int, medium: int, strong: int) -> Column:

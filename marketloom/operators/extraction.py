@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.columns import blocked, canonical_url, site_id, url_priority, visible_text
+from marketloom.functions.columns import blocked, canonical_url, computed, folded_dots, site_id, url_path, url_priority, visible_text
 from marketloom.operators.tables import recent
 
 # What counts as a price, a call to action, a policy, and the platforms in the order in which they are tried.
@@ -64,8 +64,11 @@ def resolved(href: Column, base: Column) -> Column:
 def link_targets(pages: DataFrame) -> DataFrame:
     """page_id, site_id, target: links of every page to pages of its own site, canonical, each once."""
     hrefs = F.array_distinct(F.regexp_extract_all("html", F.lit(r"(?i)<a[^>]+href=\"([^\"#]+)"), 1))
-    rows = pages.select("page_id", "url", site_id(F.col("url")).alias("site_id"), F.explode(hrefs).alias("href")).select("page_id", "site_id", resolved(F.col("href"), F.col("url")).alias("to"))
-    return rows.where("to is not null").where(site_id(F.col("to")) == F.col("site_id")).select("page_id", "site_id", canonical_url(F.col("to")).alias("target")).distinct()
+    rows = pages.select("page_id", "url", site_id(F.col("url")).alias("site_id"), F.explode(hrefs).alias("href"))
+    rows = computed(rows, {"joined": resolved(F.col("href"), F.col("url"))}).where("joined is not null")
+    rows = computed(rows.select("page_id", "site_id", "joined"), {"to": folded_dots(F.col("joined"))})
+    rows = rows.where(site_id(F.col("to")) == F.col("site_id"))
+    return computed(rows, {"target": canonical_url(F.col("to"))}).select("page_id", "site_id", "target").distinct()
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:
@@ -110,10 +113,27 @@ def internal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_targets(pages).groupBy("site_id", "target").agg(F.count("*").alias("pages")).join(held, "target", "left").select("site_id", "target", "pages", F.coalesce("held", F.lit(False)).alias("held"))
 
 
+def crawl_wave(links: DataFrame, most: int = 10, rules: DataFrame | None = None, mapped: DataFrame | None = None) -> DataFrame:
+    """site_id, target, priority, pages, position: the first ``most`` pages of each site to fetch next, by priority, then most links.
+
+    links(site_id, target, pages, held); rules(site_id, rule) of robots files leave out what they forbid; mapped(site_id, url) of sitemaps adds
+    pages that none links to.
+    """
+    rows = links.where("not held").select("site_id", "target", "pages")
+    if mapped is not None:
+        own = computed(mapped.select("site_id", "url"), {"target": canonical_url(folded_dots(F.col("url")))}).select("site_id", "target").distinct()
+        new = own.join(links.select("site_id", "target"), ["site_id", "target"], "left_anti")
+        rows = rows.unionByName(new.withColumn("pages", F.lit(0).cast("long")))
+    rows = computed(rows, {"path": url_path(F.col("target"))}).where(~blocked(F.col("target"), F.col("path")))
+    rows = computed(rows, {"priority": url_priority(F.col("target"), F.col("path"))}).drop("path")
+    if rules is not None:
+        rows = allowed(rows, rules)
+    return recent(rows, ["site_id"], [F.col("priority"), F.col("pages").desc(), F.col("target")], most).select("site_id", "target", "priority", "pages", "position")
+
+
 def next_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next ten pages of each site: linked, neither blocked nor held, by priority, then most links."""
-    links = internal_links(spark, sf_dir).where(~F.col("held") & ~blocked(F.col("target"))).withColumn("priority", url_priority(F.col("target")))
-    return recent(links, ["site_id"], [F.col("priority"), F.col("pages").desc(), F.col("target")], 10).select("site_id", "target", "priority", "pages", "position")
+    return crawl_wave(internal_links(spark, sf_dir))
 
 
 def chunks(docs: DataFrame, size: int = CHUNK, key: str = "doc_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from marketloom.functions import columns
 from marketloom.operators import extraction, layout, scores
 
 BOX = "struct<left:double,top:double,width:double,height:double>"
@@ -87,3 +88,28 @@ def test_retention_advice(spark):
     rows = spark.createDataFrame([(True, *["No"] * 6, "Month-to-month", "No"), (False, *["Yes"] * 5, None, "Two year", "Yes")], "predicted_churn boolean, " + ", ".join(f"{c} string" for c in columns))
     first, second = (r.advice for r in scores.retention_advice(rows).collect())
     assert first == ["prioritize_retention", *(f"offer:{c}" for c in scores.ADD_ONS), "longer_contract"] and second == ["prevent_and_upsell", "targeted_offer", "review_tickets"]
+
+
+def test_dots_are_folded(spark):
+    urls = {"https://a.b/x/../y": "https://a.b/y", "https://a.b/x/./y/.": "https://a.b/x/y/", "https://a.b/../../y?q=../z": "https://a.b/y?q=../z", "https://a.b/x/y/..": "https://a.b/x/", "https://a.b/x/...": "https://a.b/x/...", "https://a.b": "https://a.b", "https://a.b/.well/x": "https://a.b/.well/x"}
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", columns.folded_dots(F.col("u")).alias("f")).collect()
+    assert {r.u: r.f for r in rows} == urls
+
+
+def test_wave_obeys_rules_and_reads_sitemaps(spark):
+    pages = spark.createDataFrame([(1, "https://a.b/d/p", '<a href="../x"></a><a href="/x"></a><a href="./about"></a><a href="/private/z"></a><a href="/cart"></a>')], "page_id long, url string, html string")
+    targets = extraction.link_targets(pages)
+    assert sorted(r.target for r in targets.collect()) == ["https://a.b/cart", "https://a.b/d/about", "https://a.b/private/z", "https://a.b/x"]
+    links = targets.groupBy("site_id", "target").agg(F.count("*").alias("pages")).withColumn("held", F.lit(False))
+    rules = extraction.robots_rules(spark.createDataFrame([("a.b", "User-agent: *\nDisallow: /private")], "site_id string, text string"))
+    mapped = spark.createDataFrame([("a.b", "https://a.b/faq/"), ("a.b", "https://a.b/x")], "site_id string, url string")
+    rows = extraction.crawl_wave(links, rules=rules, mapped=mapped).orderBy("position").collect()
+    assert [(r.target, r.priority, r.pages) for r in rows] == [("https://a.b/d/about", 4, 1), ("https://a.b/faq", 7, 0), ("https://a.b/x", 50, 1)]
+
+
+def test_wave_compiles(spark):
+    plan = extraction.next_wave(spark, "/root/testdata/sf0.001")
+    plan.collect()
+    code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(plan._jdf.queryExecution().executedPlan())
+    sizes = [code.apply(k)._3().maxMethodCodeSize() for k in range(code.length())]
+    assert sizes and all(0 < x < 65_536 for x in sizes)  # -1: a stage that fails to compile
