@@ -3,29 +3,51 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.columns import rounded
+from marketloom.functions.work import kept
 from marketloom.operators.association import FEATURES, lost_customers
 
 HELD_OUT, FOLDS, CALIBRATION_FOLDS, THRESHOLD = 0.2, 5, 3, 0.5
+#: Leading bits of a row's hash by which strata are counted, and fits that run at once.
+PREFIX_BITS, AT_ONCE = 12, 4
 
 
-def share(key: str, salt: str) -> Column:
-    """A fixed number from 0 to under 1 for each key, so that a row's part never depends on how rows are dealt."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1_000_000)) / 1_000_000
+def dealt(df: DataFrame, key: str, target: str, cuts: list[float], salt: str, name: str) -> DataFrame:
+    """df with name: the part, from 0, of each row, cut at those shares of each class's rows, exactly to a row. key tells rows apart.
 
+    Rows are ordered by a hash of the key, so a row's part doesn't depend on how rows lie. Counts of hash prefixes by class say which prefixes lie within one part; only the rows
+    of the few prefixes that a cut goes through are ranked. Null classes are one class.
+    """
+    spread = F.xxhash64(F.col(key), F.lit(salt))
+    rows = df.withColumns({"_h": spread, "_p": F.shiftrightunsigned(spread, 64 - PREFIX_BITS).cast("int")})
+    prefixes = rows.groupBy(F.col(target).alias("_class"), F.col("_p").alias("_of")).agg(F.count("*").alias("_n"))  # 2 ** PREFIX_BITS rows a class at most
+    own = Window.partitionBy("_class")
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    quotas = F.array(*(F.floor(F.lit(c) * F.sum("_n").over(own) + 0.5) for c in cuts))
+    prefixes = prefixes.withColumns({"_before": before, "_quotas": quotas})
+    passed = lambda rank: F.size(F.filter("_quotas", lambda q: q < rank))
+    prefixes = prefixes.withColumns({"_low": passed(F.col("_before") + 1), "_high": passed(F.col("_before") + F.col("_n"))})
+    both = rows.join(prefixes, F.col(target).eqNullSafe(F.col("_class")) & (F.col("_p") == F.col("_of")))
+    whole = both.where("_low = _high").select(*df.columns, F.col("_low").alias(name))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_class", "_of").orderBy("_h", key))
+    cut = both.where("_low < _high").withColumn("_rank", rank).select(*df.columns, passed(F.col("_rank")).alias(name))
+    return whole.unionByName(cut)
 
-def held_out(df: DataFrame, key: str, part: float = HELD_OUT) -> DataFrame:
-    """With held_out: about that part of the rows of each class."""
-    return df.withColumn("held_out", share(key, "held out") < part)
+
+def held_out(df: DataFrame, key: str, part: float = HELD_OUT, target: str = "lost") -> DataFrame:
+    """With held_out: that part of the rows of each class, to a row."""
+    return dealt(df, key, target, [part], "held out", "_part").withColumn("held_out", F.col("_part") == 0).drop("_part")
 
 
 def balanced(df: DataFrame, target: str) -> DataFrame:
@@ -51,17 +73,29 @@ def candidates(target: str, seed: int = 7) -> dict:
     }
 
 
-def by_folds(train: DataFrame, model, key: str, folds: int, salt: str):
-    """For each fold, the rows outside it as the model's fit, and those in it with the fit's outputs."""
-    rows = train.withColumn("fold", F.floor(share(key, salt) * folds))
-    for k in range(folds):
-        yield model.fit(rows.where(F.col("fold") != k)).transform(rows.where(F.col("fold") == k))
+def in_parallel(work: list) -> list:
+    """Results of functions that each run Spark jobs of their own, some at a time."""
+    with ThreadPool(min(AT_ONCE, len(work))) as pool:
+        return pool.map(inheritable_thread_target(lambda f: f()), work)
+
+
+def by_folds(train: DataFrame, model, key: str, target: str, folds: int, salt: str) -> list:
+    """For each fold, a function that fits the rows outside it and gives those in it with the fit's outputs."""
+    rows = kept(dealt(train, key, target, [k / folds for k in range(1, folds)], salt, "fold"))
+    return [lambda k=k: model.fit(rows.where(F.col("fold") != k)).transform(rows.where(F.col("fold") == k)) for k in range(folds)]
 
 
 def cross_validated(train: DataFrame, target: str, key: str, folds: int = FOLDS, seed: int = 7) -> dict[str, float]:
-    """Mean area under the curve of each candidate; train has features and weight."""
+    """Mean area under the curve of each candidate; train has features and weight. All have the same folds."""
     area = BinaryClassificationEvaluator(labelCol=target)
-    return {name: sum(area.evaluate(x) for x in by_folds(train, model, key, folds, "folds")) / folds for name, model in candidates(target, seed).items()}
+    rows = kept(dealt(train, key, target, [k / folds for k in range(1, folds)], "folds", "fold"))
+    names = candidates(target, seed)
+
+    def one(name: str, k: int) -> float:
+        return area.evaluate(candidates(target, seed)[name].fit(rows.where(F.col("fold") != k)).transform(rows.where(F.col("fold") == k)))
+
+    areas = in_parallel([lambda name=name, k=k: one(name, k) for name in names for k in range(folds)])
+    return {name: sum(areas[i * folds : (i + 1) * folds]) / folds for i, name in enumerate(names)}
 
 
 def margin() -> Column:
@@ -70,7 +104,7 @@ def margin() -> Column:
 
 def calibrated(train: DataFrame, model, target: str, key: str, folds: int = CALIBRATION_FOLDS):
     """The model fit to all rows, and slope and intercept that turn its margins to probabilities, learned from rows left out of fits."""
-    left_out = reduce(DataFrame.unionByName, (x.select(F.col(target).alias("label"), margin().alias("margin")) for x in by_folds(train, model, key, folds, "calibration")))
+    left_out = reduce(DataFrame.unionByName, (x.select(F.col(target).alias("label"), margin().alias("margin")) for x in in_parallel(by_folds(train, model, key, target, folds, "calibration"))))
     line = LogisticRegression().fit(VectorAssembler(inputCols=["margin"], outputCol="features").transform(left_out))
     return model.fit(train), float(line.coefficients[0]), float(line.intercept)
 
@@ -90,10 +124,10 @@ def prediction_summary(rows: DataFrame) -> DataFrame:
 
 def prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, PipelineModel, DataFrame]:
     """All customers with held_out, the encoder that the others fit, and those others encoded and weighed."""
-    df = held_out(lost_customers(spark, sf_dir).withColumn("region", F.col("region").cast("string")).na.fill("nan", FEATURES), "c_custkey")
+    df = kept(held_out(lost_customers(spark, sf_dir).withColumn("region", F.col("region").cast("string")).na.fill("nan", FEATURES), "c_custkey"))
     train = df.where("not held_out")
     encode = Pipeline(stages=encoder(FEATURES, [])).fit(train)
-    return df, encode, balanced(encode.transform(train), "lost")
+    return df, encode, kept(balanced(encode.transform(train), "lost"))
 
 
 def churn_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

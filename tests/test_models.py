@@ -42,3 +42,21 @@ def test_customers(spark):
     s = models.prediction_summary(rows).first()
     assert s.predicted_churn + s.predicted_no_churn == s.rows_total and s.least <= s.mean <= s.most
     assert models.prediction_summary(rows.where("false")).first().churn_rate == 0
+
+
+def test_strata_are_exact(spark):
+    rows = [(i, None if i % 97 == 0 else int(i % 11 == 0)) for i in range(5003)]
+    df = spark.createDataFrame(rows, "id long, lost int")
+    cuts = [0.2, 0.4, 0.6, 0.8]
+    got = models.dealt(df, "id", "lost", cuts, "folds", "fold")
+    counts = {}
+    for r in got.groupBy("lost", "fold").count().collect():
+        counts.setdefault(r.lost, {})[r.fold] = r["count"]
+    for target, folds in counts.items():
+        n = sum(y == target for _, y in rows)
+        edges = [0, *(math.floor(c * n + 0.5) for c in cuts), n]
+        assert [folds[k] for k in range(5)] == [b - a for a, b in zip(edges, edges[1:])]
+    again = {r.id: r.fold for r in models.dealt(df.repartition(7), "id", "lost", cuts, "folds", "fold").collect()}
+    assert again == {r.id: r.fold for r in got.collect()} and len(again) == len(rows)
+    few = spark.createDataFrame([(1, 1), (2, 0)], "id long, lost int")
+    assert models.held_out(few, "id").where("held_out").count() == 0
