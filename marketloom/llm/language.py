@@ -8,16 +8,16 @@ of windows takes one product.
 The network learns from a bounded sample: about ``SAMPLE`` documents of each language, chosen by a hash of their id, with one
 slice of ``SLICE`` characters each, at a place that the hash chooses.
 
-Defined cases: null text, or text without a letter, is ``und`` with score 0; repeated rows are handled each; with no training
-rows every text is ``und``; with one language all texts with letters are that; clashing column names are replaced.
+Defined cases: null text, or text without a letter (Unicode category L, so no digits or numerals), is ``und`` with score 0; repeated rows and rows of null
+doc_id are handled each, the latter never learned from and never held out; ties go to the first language by name; very long texts are handled alone; with no
+training rows every text is ``und``; with one language all texts with letters are that; an empty table gives no rows; clashing column names are replaced.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -28,7 +28,7 @@ SAMPLE, SLICE = 1_200, 512
 FOLDS = 3
 WINDOW, DIM, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 12
 NEW = ["lang_pred", "score"]
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 class ByteNetwork:
@@ -156,5 +156,5 @@ def predict_language(docs: DataFrame, model: ByteNetwork | None) -> DataFrame:
 def op2_byte_network_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = train(docs)
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 1
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == 1
     return predict_language(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
