@@ -34,9 +34,10 @@ def back(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the chain, trained on the labels, doesn't call toxic."""
+    """Documents that the chain, trained on the labels, doesn't call toxic; a text without a letter shows nothing and stays."""
     model = toxicity_.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return back(toxicity_.score_toxicity(aside(docs), model, spans=False).where("predicted = 0"), docs.columns)
+    scored = toxicity_.score_toxicity(aside(docs), model, spans=False)
+    return back(scored.where((F.col("predicted") == 0) | ~F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

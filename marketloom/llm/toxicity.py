@@ -10,7 +10,7 @@ chosen by a hash of their id. Every text is scored whole.
 
 Defined cases: null or empty text, or one without letters, gets the score of no evidence; repeated rows are scored each; a
 sample without both classes gives the share of toxic labels (0 if there are none) to all; ties of the sample's order go by
-doc_id; very long texts are scored alone; an empty table gives no rows; input columns with the names of new ones are replaced.
+doc_id; rows of null doc_id are never learned from and count as held out; very long texts are scored alone; an empty table gives no rows; input columns with the names of new ones are replaced.
 """
 
 from __future__ import annotations
@@ -208,5 +208,5 @@ def score_toxicity(docs: DataFrame, model: ToxicChain, spans: bool = True) -> Da
 def op3_toxic_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
     return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "toxic_spans")
