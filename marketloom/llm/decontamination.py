@@ -6,8 +6,9 @@ searched backward at once through wavelet-tree ranks; occurrences are located by
 removal spans. Documents aren't shuffled. The benchmark is read in parts of at most ``part_bytes``; the table of one part is
 what tasks get.
 
-Defined cases: a null text or item has no words; items without words are never found; repeated rows are handled each; with
-an empty benchmark nothing is hit; input columns with the names of new ones are replaced.
+Defined cases: a null text has no words; items without words are never found; items of null id hit words like all others, but have no name to list; rows of
+equal item_id are one item in the list; repeated documents and rows of null doc_id are handled each; very long texts are a shard of their own; with an empty
+benchmark nothing is hit; an empty document table gives no rows; input columns with the names of new ones are replaced.
 """
 
 from __future__ import annotations
@@ -36,19 +37,21 @@ class Phrases:
         rows = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(x) for x in blobs]))).astype(np.int64)
         h, _, _, first = words(np.frombuffer(b"".join(blobs), np.uint8), rows, ALNUM, lower=True)
         self.vocabulary, number = np.unique(h, return_inverse=True)
-        found: dict[tuple[int, ...], set[int]] = {}
-        for item, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-            w = (number[a:b] + 2).tolist()
-            for at in range(max(1, len(w) - window + 1) if w else 0):
-                found.setdefault(tuple(w[at : at + window]), set()).add(item)
-        self.ids = ids
-        self.lengths = np.array([len(x) for x in found], np.int64)
-        self.rows = np.zeros((len(found), window), np.int64)
-        for k, x in enumerate(found):
-            self.rows[k, : len(x)] = x
-        self.items = np.array([i for x in found.values() for i in sorted(x)], np.int64)
-        self.item_ends = np.cumsum([0, *(len(x) for x in found.values())])
-        self.least = int(self.lengths.min()) if len(found) else 0
+        size = np.diff(first)
+        count = np.where(size > 0, np.maximum(1, size - window + 1), 0)
+        item = np.repeat(np.arange(len(texts)), count)
+        begin = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[:-1], count)
+        place = begin[:, None] + np.arange(window)
+        inside = place < first[1:][item][:, None]
+        rows = np.where(inside, number[np.minimum(place, max(0, len(h) - 1))] + 2 if len(h) else 0, 0).astype(np.int32)
+        del place
+        self.rows, of = np.unique(rows, axis=0, return_inverse=True)
+        self.rows = self.rows.astype(np.int64)
+        self.lengths = (self.rows > 0).sum(axis=1)
+        holds = np.unique(np.stack((of.reshape(-1), item), axis=1), axis=0) if len(item) else np.zeros((0, 2), np.int64)
+        self.ids, self.items = ids, holds[:, 1]
+        self.item_ends = np.searchsorted(holds[:, 0], np.arange(len(self.rows) + 1))
+        self.least = int(self.lengths.min()) if len(self.rows) else 0
         size = len(self.vocabulary) + 2
         pair = self.rows[:, :-1] * size + self.rows[:, 1:]
         self.pairs = np.unique(pair[(self.rows[:, :-1] > 0) & (self.rows[:, 1:] > 0)])
@@ -105,7 +108,8 @@ def one_pass(docs: DataFrame, phrases: Phrases, first_pass: bool) -> DataFrame:
             item = p.items[np.repeat(p.item_ends[phrase], n_items) + np.arange(int(n_items.sum())) - np.repeat(np.cumsum(n_items) - n_items, n_items)]
             found: list[set[str]] = [set() for _ in range(b.num_rows)]
             for r, i in np.unique(np.stack((of, item), axis=1), axis=0).tolist():
-                found[r].add(p.ids[i])
+                if p.ids[i] is not None:
+                    found[r].add(p.ids[i])
             spans: list[list[tuple[int, int]]] = [[] for _ in range(b.num_rows)]
             for x, y in zip(begin.tolist(), stop.tolist(), strict=True):
                 while x < y:  # a merged span may go on into the next row
@@ -132,11 +136,11 @@ def one_pass(docs: DataFrame, phrases: Phrases, first_pass: bool) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """docs with n_words, n_hit, items (ids found, sorted) and hit_spans (pairs of int64 word positions, end exclusive)."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-2 * size // part_bytes)) if size > part_bytes else 1
     for k in range(parts):
-        some = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
+        some = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         rows = some.collect()  # bounded by part_bytes
         docs = one_pass(docs, Phrases([r[0] for r in rows], [r[1] for r in rows], window), k == 0)
         docs = staged(docs, "decontaminated") if k < parts - 1 else docs
