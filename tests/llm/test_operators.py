@@ -413,3 +413,38 @@ def test_pipeline(spark):
     assert decontamination.decontaminate(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).where("n_hit > 0").isEmpty()
     assert all(not any(pii.base_spans(r.text).values()) for r in docs.collect())
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == docs.count()
+
+
+def test_op9_items_of_null_and_repeated_ids(spark):
+    shared = "one two three four five six seven eight nine ten"
+    docs = [(1, f"x {shared} y"), (2, "alpha beta"), (None, "gamma"), (1, "gamma alpha beta")]
+    items = [(None, shared + " eleven"), (7, "alpha beta"), (7, "gamma"), (None, "alpha beta"), (8, None), (9, "! ?")]
+    found = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in found.collect()), key=repr) == sorted([(1, 12, 10, []), (2, 2, 2, ["7"]), (None, 1, 1, ["7"]), (1, 3, 3, ["7"])], key=repr)
+    parts = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), part_bytes=40)
+    assert sorted(map(repr, parts.collect())) == sorted(map(repr, found.collect()))
+
+
+def test_op2_letters_are_of_category_l(spark):
+    rows = [(1, "²½"), (2, "ⅧⅧ"), (3, "_12_"), (4, "é"), (5, "中"), (None, "ab")]
+    model = language.ByteNetwork(["en", "fr"])
+    out = language.predict_language(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert [(r.lang_pred == "und", r.score == 0) for r in out] == [(True, True)] * 3 + [(False, False)] * 3
+
+
+def test_no_row_without_a_held_out_flag(spark, tmp_path):
+    sf = folder(spark, tmp_path, EDGES, [(9004, 1, 1), (9007, 0, 0)])
+    for query in (language.op2_byte_network_language, toxicity.op3_toxic_chain):
+        assert all(r.held_out is not None for r in query(spark, sf).collect())
+
+
+def test_pipeline_keeps_texts_without_a_letter(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = folder(spark, tmp_path, EDGES, [(9004, 1, 1), (9005, 1, 1), (9007, 0, 0)])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stays = corpus_pipeline.toxicity(spark, docs, sf)
+    assert stays.columns == docs.columns
+    kept = sorted((repr(r.text) for r in stays.collect()))
+    for text in (None, "", " \n\t "):
+        assert kept.count(repr(text)) == sum(t == text for _, t in EDGES)
