@@ -9,7 +9,8 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
-from marketloom.llm import conversations, line_dedup
+import numpy as np
+from marketloom.llm import collocations, conversations, line_dedup
 
 
 def sha(text):
@@ -212,3 +213,81 @@ def test_repair_on_given_tables(spark):
 def test_no_conversations(spark, tmp_path):
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert conversations.op11_hirschberg_repair(spark, str(tmp_path)).collect() == []
+
+
+# ---- collocations
+
+
+def plain_collocations(docs, least, top=2000):
+    counts, words = defaultdict(Counter), Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            words[lang] += len(w)
+            for n in range(1, 5):
+                counts[lang].update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+    out = []
+    for lang, f in counts.items():
+        cands = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        rows = []
+        for p, a in cands.items():
+            score, k = min((2_000_000 * a // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+            inside = any(100 * b >= 80 * a and any(q[s : s + len(p)] == p for s in range(len(q) - len(p) + 1)) for q, b in cands.items() if len(q) > len(p))
+            if not inside:
+                rows.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        out += [(lang, i, p.decode(), -a, l, r, words[lang], -s) for i, (s, a, p, l, r) in enumerate(sorted(rows)[:top], 1)]
+    return sorted(out)
+
+
+def mixed_docs(seed, n=120):
+    rng = random.Random(seed)
+    words = ["Of", "the", "of", "red", "fox", "é", "ÉCOLE", "42", "a-b", "x"]
+    docs = []
+    for _ in range(n):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\t", " ", ". ", ",", "\n", "\x0b"]) for _ in range(rng.randint(0, 60)))
+        docs.append((rng.choice(["en", "en", "fr", None, "und"]), text))
+    return [*docs, ("en", None), (None, ""), ("xx", " \t.\n"), ("zz", "rare words only"), ("en", "the red fox " * 3000)]
+
+
+@pytest.mark.parametrize("least, places", [(30, None), (5, 500), (7, 60)])
+def test_collocations_equal_a_plain_version(spark, monkeypatch, least, places):
+    """Also with small shards and with pairs that are dealt by all their words."""
+    docs = mixed_docs(least)
+    if places:
+        monkeypatch.setattr(collocations, "SHARD_PLACES", places)
+        monkeypatch.setattr(collocations, "HOT_SHARE", 1 << 40)
+    table = spark.createDataFrame([(*d, 1, "q") for d in docs], "lang string, text string, n int, phrase string").repartition(4)
+    assert sorted(map(tuple, collocations.collocations(table, least=least).collect())) == plain_collocations(docs, least)
+    if not places:
+        assert sorted(map(tuple, collocations.collocations(table, least=least, top=3).collect())) == plain_collocations(docs, least, 3)
+
+
+def test_quicksort_counts_every_prefix(monkeypatch):
+    rng = random.Random(3)
+    for small in (0, 5, 2048):
+        monkeypatch.setattr(collocations, "SMALL", small)
+        for least in (1, 3, 9):
+            rows = [tuple(rng.randint(0, 3) if k < 3 else rng.choice([-1, 0, 1]) for k in range(4)) for _ in range(200)]
+            weight = [rng.randint(1, 4) for _ in rows]
+            found = collocations.phrase_counts([np.array(c) for c in zip(*rows)], np.array(weight), [least] * 4)
+            want = Counter()
+            for row, w in zip(rows, weight):
+                for d in range(1, 5):
+                    if row[d - 1] >= 0:
+                        want[row[:d]] += w
+            got = {rows[i][:d]: n for i, d, n in found}
+            assert got == {p: n for p, n in want.items() if n >= least} and len(got) == len(found)
+
+
+def test_scores_beyond_64_bits(spark):
+    big = 5_000_000_000_000_000_000
+    counted = spark.createDataFrame([("en", "a", big), ("en", "b", big), ("en", "a b", big - 1)], "lang string, phrase string, f long")
+    (r,) = collocations.scored(counted).collect()
+    assert r.score == 2_000_000 * (big - 1) // (2 * big)
+
+
+def test_no_collocations(spark, tmp_path):
+    spark.createDataFrame([], "lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert collocations.op12_collocations(spark, str(tmp_path)).collect() == []
+    assert collocations.collocations(spark.createDataFrame([(None, None)], "lang string, text string")).collect() == []
