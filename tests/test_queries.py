@@ -32,7 +32,7 @@ def test_query_matches_sql(spark, sql, name):
 
 
 def test_queries_without_sql():
-    assert sorted(set(plans.QUERIES) - set(plans.ORACLES)) == ["churn_model_choice", "churn_prediction_summary", "churn_predictions", "site_action_plan", "text_quality_scores"]
+    assert sorted(set(plans.QUERIES) - set(plans.ORACLES)) == ["churn_model_choice", "churn_prediction_summary", "churn_predictions", "text_quality_scores"]
 
 
 def test_entry(spark):
