@@ -56,16 +56,24 @@ def numbered(docs: DataFrame, apart: bool) -> DataFrame:
 
 
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with batches small enough for long texts, where the session leaves their bytes at Spark's default."""
+    """``mapInArrow`` with batches small enough for long texts, where the session leaves their bytes at Spark's default.
+
+    What follows another such step at once runs in the same Python worker: a task then holds one worker, not two.
+    """
     conf = df.sparkSession.conf
     if conf.get(BATCH_BYTES) == "67108864b":
         conf.set(BATCH_BYTES, str(4 * STEP_BYTES))
 
+    source, before = getattr(df, "_batches_of", (df, None))
+    whole = function if before is None else lambda batches: function(before(batches))
+
     def run(batches):
-        yield from function(batches)
+        yield from whole(batches)
         release()
 
-    return df.mapInArrow(run, schema)
+    out = source.mapInArrow(run, schema)
+    out._batches_of = (source, whole)
+    return out
 
 
 def release() -> None:
