@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from marketloom.functions.columns import rounded
 from marketloom.functions.work import work_path
 from marketloom.operators.extraction import chunks
 
+#: Rows of a batch that a task hands on.
+BATCH = 1 << 17
 #: Files over which the postings of a bucket are spread, by document.
 SPREAD = 4
 QUERY = ("the", "and", "with")
@@ -27,10 +31,28 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def chunk_terms(docs: DataFrame) -> DataFrame:
+    """doc_id, chunk_index, n_words, term and tf of every chunk: a chunk is whole in its task, so its words are counted there, before any shuffle."""
+
+    def run(batches):
+        for b in batches:
+            words = pc.split_pattern(b.column("content"), " ")
+            n_words = pc.list_value_length(words)
+            counts = pa.table({"row": pc.list_parent_indices(words), "term": pc.list_flatten(words)}).group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")])
+            row = counts["row"]
+            out = {"doc_id": b.column("doc_id").take(row), "chunk_index": b.column("chunk_index").take(row), "n_words": n_words.take(row), "term": counts["term"], "tf": counts["count_all"].cast(pa.int32())}
+            yield from pa.table(out).to_batches(max_chunksize=BATCH)
+
+    rows = chunks(docs).select("doc_id", "chunk_index", F.lower("content").alias("content"))
+    return rows.mapInArrow(run, "doc_id bigint, chunk_index int, n_words int, term string, tf int")
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, chunk_index, term, tf and n_words of every chunk of docs(doc_id, text)."""
-    words = chunks(docs).select("doc_id", "chunk_index", F.split(F.lower("content"), " ").alias("words"))
-    return words.select("doc_id", "chunk_index", F.size("words").alias("n_words"), F.explode("words").alias("term")).groupBy("doc_id", "chunk_index", "n_words", "term").agg(F.count("*").cast("int").alias("tf"))
+    """doc_id, chunk_index, term, tf and n_words of every chunk of docs(doc_id, text); where a doc_id repeats, its equal places are one."""
+    rows = chunk_terms(docs)
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows
+    return rows.groupBy("doc_id", "chunk_index", "n_words", "term").agg(F.sum("tf").cast("int").alias("tf"))
 
 
 def write_index(docs: DataFrame, path: str, buckets: int | None = None) -> None:
@@ -42,7 +64,8 @@ def write_index(docs: DataFrame, path: str, buckets: int | None = None) -> None:
     written = spark.read.parquet(f"{path}/postings")
     terms = written.groupBy("bucket", "term").agg(F.count("*").alias("df"))
     terms.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    written.select("doc_id", "chunk_index").distinct().agg(F.count("*").alias("n"), F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
+    sizes = written.groupBy("doc_id").agg((F.max("chunk_index") + 1).alias("n"))  # chunks of a document are numbered from 0
+    sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
 
 
 def of_terms(table: DataFrame, terms: tuple[str, ...], buckets: int) -> DataFrame:

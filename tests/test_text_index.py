@@ -34,6 +34,19 @@ def test_equals_a_scan(spark, index, terms):
     assert [tuple(r) for r in text_index.search_index(spark, path, terms, 15).collect()] == scan(rows, tuple(dict.fromkeys(terms)), 15)
 
 
+def test_words_are_counted_before_any_shuffle(spark, index):
+    docs = spark.createDataFrame([(1, "a B a\tb c " + "d " * 400), (2, None), (3, " "), (4, "É é a")], "doc_id long, text string")
+    rows = text_index.postings(docs)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString().replace("ExistingRDD", "")
+    whole = chunks(docs).collect()
+    told = {(r.doc_id, r.chunk_index, r.term): (r.tf, r.n_words) for r in rows.collect()}
+    assert told == {(c.doc_id, c.chunk_index, t): (n, len(c.content.split(" "))) for c in whole for t, n in Counter(c.content.lower().split(" ")).items()}
+    twice = {(r.doc_id, r.chunk_index, r.term): r.tf for r in text_index.postings(docs.union(docs)).collect()}  # equal places of a repeated id are one
+    assert twice == {k: 2 * n for k, (n, _) in told.items()}
+    path, chunked = index
+    assert tuple(spark.read.parquet(f"{path}/size").first()) == (len(chunked), 16)
+
+
 def test_reads_the_buckets_of_its_terms_alone(spark, index):
     path, _ = index
     table = spark.read.parquet(f"{path}/postings")
