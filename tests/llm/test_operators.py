@@ -152,6 +152,40 @@ CLASHING = [
 ]
 
 
+@pytest.mark.parametrize("few", [1, 1000])
+def test_op4_families_in_groups_or_pair_by_pair(spark, monkeypatch, few):
+    monkeypatch.setattr(near_duplicates, "FEW", few)
+    rng, docs = random.Random(few), []
+    for k in range(60):
+        w = [f"w{k % 3}_{i}" for i in range(120)]
+        for _ in range(rng.choice([1, 3, 5])):
+            w[rng.randrange(120)] = f"x{rng.randrange(40)}"
+        docs.append((k, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, (85, 100)).collect()}
+    assert got == brute.near(docs, 3, 85, 100)
+
+
+def test_op4_keys_and_texts_that_are_sent(spark):
+    """Only half-keys that others have too make table keys, and texts that are read again are sent to no other task."""
+    rng, m = random.Random(9), 4
+    half = {k: [rng.randrange(12 if k < 30 else 1 << 60) * 8 + j for j in range(2 * m)] for k in range(90)}
+    reps = spark.createDataFrame(list(half.items()), "id long, half array<long>")
+    keys = {k: {(x, y) for x in h[:m] for y in h[m:]} for k, h in half.items()}
+    ids = {}
+    for k, own in keys.items():
+        for x in own:
+            ids.setdefault(x, []).append(k)
+    want = sorted((k, min(ids[x])) for k, own in keys.items() for x in own if len(ids[x]) > 1)
+    members = near_duplicates.shared_keys(reps, m)
+    assert sorted((r.id, r.low) for r in members.collect()) == want and len(want) > 50
+    docs = spark.createDataFrame([(k, f"a b c {k}") for k in range(-500, 500)], "row_id long, text string")
+    sets = near_duplicates.sets_of(docs, 3, spark.createDataFrame([(k,) for k in range(-400, 400, 50)], "id long"))
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = {r.id: len(r.shingles) for r in sets.collect()}
+    assert set(range(-400, 400, 50)) <= set(got) and set(got.values()) == {2} and len(got) < 100
+
+
 def test_op4_rows_that_share_a_doc_id(spark):
     """Both texts of doc_id 5 have links of their own, also near ones: neither class loses its keys to the other."""
     rng, docs = random.Random(3), []
